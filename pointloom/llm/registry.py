@@ -1,14 +1,18 @@
 """Queries of this folder and, where SQL can express them, their DuckDB texts."""
 
 from pointloom.llm import mixing, urls
+from pointloom.llm.langid import op2_language_id
 from pointloom.llm.licenses import op6_license_scan
 from pointloom.llm.mixing import op8_mixing
+from pointloom.llm.packing import op4_packing
 from pointloom.llm.pii import op10_pii
 from pointloom.llm.quality import op1_quality_rules
 from pointloom.llm.urls import op7_url_filter
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op4_packing": op4_packing,
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
