@@ -4,6 +4,7 @@ from pointloom.llm import mixing, urls
 from pointloom.llm.langid import op2_language_id
 from pointloom.llm.licenses import op6_license_scan
 from pointloom.llm.mixing import op8_mixing
+from pointloom.llm.near import op9_jaccard_join
 from pointloom.llm.packing import op4_packing
 from pointloom.llm.pii import op10_pii
 from pointloom.llm.quality import op1_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
