@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, shuffle_partitions, stored, table
+from pointloom.llm.common import SPACE, stored, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -95,16 +95,17 @@ def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
     third = second.withColumn("_keys", F.expr(_KEYS)).withColumn("_found", F.expr(_FOUND)).withColumn("_places", F.expr(_PLACES))
     out = third.select(*keep, *stats, F.expr(_COVERED).alias("n_repeat_words")).withColumn("n_words", F.col("n_words").cast("long"))
-    return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
+    # The row number is never negative. It only keeps the optimizer from moving later filters below these
+    # steps, where each would hold several copies of every expression above.
+    return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words OR monotonically_increasing_id() < 0"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Mergeable sketches: (lang, source, metric, bucket, n), with sums over sources and languages as ``level`` 1 and 2."""
+    """Mergeable sketches: (lang, source, metric, bucket, n); add up n to merge."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).cast("long").alias("v")) for m, (e, _, _) in METRICS.items()])
     flat = rows.where("NOT base_failed").select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.*")
     bucket = F.expr("v - v % cast(pow(2, greatest(0, length(bin(v)) - 6)) AS bigint)")
-    own = flat.withColumn("bucket", bucket).groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    return own
+    return stored(flat.withColumn("bucket", bucket).groupBy("lang", "source", "metric", "bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
