@@ -1,6 +1,8 @@
 """Queries of this folder and, where SQL can express them, their DuckDB texts."""
 
 from pointloom.llm import mixing, urls
+from pointloom.llm.ann import op5_nearest
+from pointloom.llm.html import op3_html_extraction
 from pointloom.llm.langid import op2_language_id
 from pointloom.llm.licenses import op6_license_scan
 from pointloom.llm.mixing import op8_mixing
@@ -13,7 +15,9 @@ from pointloom.llm.urls import op7_url_filter
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
+    "op5_nearest": op5_nearest,
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
