@@ -126,7 +126,6 @@ def leaves(page: str | None) -> list[Leaf]:
     return out
 
 
-@functools.lru_cache(maxsize=100_000)
 def _place(kind: str, word: str, places: int) -> int:
     return zlib.crc32(f"{kind}:{word}".encode()) % places
 
