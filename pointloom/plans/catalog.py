@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pointloom.plans import clouds  # noqa: F401
+from pointloom.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "crop_voxel_levels"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
