@@ -29,11 +29,11 @@ SPREAD = 3
 MIN_DOCS = 50
 #: metric -> (integer expression, least distance above the upper quartile, least distance below the lower one or None).
 METRICS = {
-    "symbols": ("1000 * n_symbols div n_words", 100, None),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 450, None),
-    "repeats": ("1000 * n_repeat_words div n_words", 300, None),
-    "upper": ("1000 * n_upper div word_chars", 300, None),
-    "word_len": ("100 * word_chars div n_words", 300, 200),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 100, None),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 450, None),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 300, None),
+    "upper": ("1000 * n_upper div nullif(word_chars, 0)", 300, None),
+    "word_len": ("100 * word_chars div nullif(n_words, 0)", 300, 200),
 }
 #: Groups up to this many rows of limits are broadcast; beyond, the join shuffles.
 BROADCAST_GROUPS = 100_000
