@@ -3,17 +3,16 @@
 A document is the set of its distinct ``N``-word shingles; documents with a Jaccard similarity of at
 least ``PERCENT`` per cent are linked. The steps, each over all documents:
 
-1. Sets are hashed and documents with equal sets fold into one, by digest. Shingles that repeat within
-   blocks of a partition are counted, and the ``ORDERED_LAST`` most frequent ones come last in the
-   global order of shingles (the order touches speed only, never results).
-2. Two linked sets share a shingle within their prefixes (n - ceil(0.75 n) + 1 first ones in that order). Prefix
-   entries meet by shingle; a list is walked in order of set size, and neighbours whose sizes rule out
-   a link start a new block, so lists skip by block. Partitions and buckets pass on
+1. Sets are hashed and documents with equal sets fold into one, by digest.
+2. The document frequency of every shingle is counted in buckets of shingles (six bytes for each), and those that occur at
+   least twice go back to their block of documents. So each set knows its prefix, the n - ceil(0.75 n) + 1
+   rarest of its shingles, of which two linked sets share one. A set with as many shingles of its own is linked with nothing.
+3. Prefix entries meet by shingle; a list is walked in order of set size, and neighbours whose sizes rule out
+   a link start a new block, so lists skip by block. Blocks of documents and buckets pass on
    one entry for each block with its size range and a spanning forest, never pairs: a shingle that a third of all
-   documents hold costs a row for each partition.
-3. Components of these candidate edges are closed worlds: each link lies inside one. Sets of
-   one component meet in one task, or, in a large component, in one task for each pair of blocks of at
-   most ``BLOCK`` sets.
+   documents hold costs a row for each block of documents. Components of these candidate edges are closed
+   worlds: each link lies inside one. Sets of one component meet in one task, or, in a large component, in one
+   task for each pair of blocks of at most ``BLOCK`` sets.
 4. Within a task, sets are joined in order of size through an index of prefixes with exact frequencies. A
    pair already connected is skipped. An answer is derived from that of a similar set where possible: with
    o = |y & r| known and x like r, |y & x| lies between o - |r - x| and o + |x - r|, which often settles the pair unseen.
@@ -27,12 +26,14 @@ they come; empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +43,12 @@ from pointloom.llm.components import connected_components
 N = 5
 #: Linked when 100 * intersection >= PERCENT * union; written as 7 * intersection >= 3 * (sum of sizes) below.
 PERCENT = 75
-#: Shingles that are put last in the order; their table travels with the tasks (16 bytes each).
-ORDERED_LAST = 200_000
-#: Shingles per counting block and prefix entries per emitted block.
-COUNT_BLOCK, PREFIX_BLOCK = 4_000_000, 1_000_000
+#: Shingles and documents in a block of documents, and shingles in a bucket: what a task holds at a time.
+BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_SHINGLES = 2_000_000, 60_000, 4_000_000
 #: Sets per block of a large candidate component.
 BLOCK = 2000
-#: 32-bit words of the filter that spares most texts the join with the candidates.
-FILTER_WORDS = 1 << 18
+#: Size of the filter that spares most texts the last reading.
+FILTER_BYTES = 1 << 20
 _NULL_ID = (1 << 63) - 1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -161,96 +160,108 @@ def _binary(batch: pa.RecordBatch, k: int) -> list[bytes | None]:
     return batch.column(k).cast(pa.binary()).to_pylist()
 
 
-_FACTS = "kind int, doc_id long, d1 long, d2 long, n long"
-
-
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a document with its digest and set size. Kind 1: a shingle (d1) that occurs n times in a block of sets."""
-    names = ["kind", "doc_id", "d1", "d2", "n"]
-    held, seen, size = [], set(), 0
-
-    def counts():
-        tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = n >= 3
-        tokens, n = tokens[often].view(np.int64), n[often].astype(np.int64)
-        zero = np.zeros(len(n), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(zero), pa.array(tokens), pa.array(zero), pa.array(n)], names=names)
-
+    """Each document with its digest and set size."""
     for batch in batches:
-        rows = []
-        for s in map(shingles, _binary(batch, 1)):
-            d = digest(s) if len(s) else (0, 0)
-            rows.append((*d, len(s)))
-            if d not in seen and len(s):
-                seen.add(d)
-                held.append(s)
-                size += len(s)
-            if size >= COUNT_BLOCK:
-                yield counts()
-                held, seen, size = [], set(), 0
-        a = np.array(rows, np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), batch.column(0), *[pa.array(a[:, k]) for k in range(3)]], names=names)
-    yield counts()
-
-
-def ordered(s: np.ndarray, late: np.ndarray, late_rank: np.ndarray) -> np.ndarray:
-    """A set in the global order: the frequent shingles ``late`` last, by rank; the others by hash."""
-    if not len(late):
-        return s
-    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-    is_late = late[at] == s
-    if not is_late.any():
-        return s
-    return np.concatenate([s[~is_late], s[is_late][np.argsort(late_rank[at[is_late]], kind="stable")]])
+        sets = [shingles(x) for x in _binary(batch, 1)]
+        a = np.array([(*(digest(s) if len(s) else (0, 0)), len(s)) for s in sets], np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(a[:, k]) for k in range(3)]], names=["doc_id", "d1", "d2", "n"])
 
 
-_ENTRIES = "bucket int, tokens binary, ids binary, lo binary, hi binary, edges binary"
-_ENTRY_NAMES = ["bucket", "tokens", "ids", "lo", "hi", "edges"]
+_ROWS = "key long, block long, kind int, a binary, b binary, c binary"
+_ROW_NAMES = ["key", "block", "kind", "a", "b", "c"]
 
 
-def _prefixes(late: np.ndarray, late_rank: np.ndarray, buckets: int):
+def _shingles_by_bucket(buckets: int):
+    """Blocks of documents: their shingles by bucket (kind 0: 32 bits of each, place of its document), and their digests and sizes (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, size = [], set(), 0
-
-        def block(number=[0]):  # noqa: B006
-            forest, edges = Forest(), []
-            tokens = np.concatenate([t for t, _, _ in held])
-            n = np.array([len(t) for t, _, _ in held])
-            ids = np.repeat(np.array([i for _, i, _ in held], np.int64), n)
-            sizes = np.repeat(np.array([k for _, _, k in held], np.int32), n)
-            tokens, ids, lo, hi = _runs(tokens, ids, sizes, sizes, forest, edges)
-            place = (tokens % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(place, kind="stable")
-            ends = np.searchsorted(place[order], np.arange(buckets + 1))
-            rows = []
-            for k in range(buckets):
-                o = order[ends[k] : ends[k + 1]]
-                mine = edges[k::buckets]
-                if len(o) or mine:
-                    rows.append((k, tokens[o].tobytes(), ids[o].tobytes(), lo[o].tobytes(), hi[o].tobytes(), np.array(mine, np.int64).tobytes()))
-            kinds = (pa.int32(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=_ENTRY_NAMES)
+        number = iter(range(TaskContext.get().partitionId() << 32, (TaskContext.get().partitionId() + 1) << 32))
+        held, size = {}, 0
+
+        def block() -> pa.RecordBatch:
+            name, sets = next(number), list(held.values())
+            tokens = np.concatenate(sets)
+            place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            low = tokens.astype(np.uint32)[order]
+            place = place[order]
+            rows = [(k, name, 0, low[x:y].tobytes(), place[x:y].tobytes(), None) for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+            rows.append((name % buckets, name, 1, np.array([d[0] for d in held], np.int64).tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), None))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ROW_NAMES)
 
         for batch in batches:
             for s in map(shingles, _binary(batch, 0)):
-                if not len(s):
-                    continue
-                d = digest(s)
-                if d in seen:
-                    continue
-                seen.add(d)
-                t = ordered(s, late, late_rank)[: prefix_size(len(s))]
-                held.append((t, d[0], len(s)))
-                size += len(t)
-                if size >= PREFIX_BLOCK:
+                if len(s):
+                    d = digest(s)
+                    if d not in held:
+                        held[d] = s
+                        size += len(s)
+                if size >= BLOCK_SHINGLES or len(held) >= BLOCK_DOCS:
                     yield block()
-                    held, seen, size = [], set(), 0
+                    held.clear()
+                    size = 0
         if held:
             yield block()
 
     return run
 
 
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: back to each block go its shingles that occur twice or more, with their frequency."""
+    out = [(r.block, r.block, 1, r.a, r.b, None) for r in pdf[pdf["kind"] == 1].itertuples()]
+    part = pdf[pdf["kind"] == 0]
+    if len(part):
+        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in part["a"]])
+        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        often = counts[inverse]
+        at, high = 0, np.uint64(int(part["key"].iloc[0]) << 32)
+        for r in part.itertuples():
+            n = len(r.a) // 4
+            f = often[at : at + n]
+            kept = f > 1
+            if kept.any():
+                names = np.frombuffer(r.a, np.uint32)[kept].astype(np.uint64) | high
+                out.append((r.block, r.block, 0, names.tobytes(), np.frombuffer(r.b, np.uint16)[kept].tobytes(), f[kept].astype(np.uint32).tobytes()))
+            at += n
+    return pd.DataFrame(out, columns=_ROW_NAMES)
+
+
+_ENTRIES = "bucket int, tokens binary, ids binary, lo binary, hi binary, edges binary"
+_ENTRY_NAMES = ["bucket", "tokens", "ids", "lo", "hi", "edges"]
+
+
+def _prefixes(buckets: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One block of documents: its prefix entries by bucket, folded."""
+        head, part = pdf[pdf["kind"] == 1].iloc[0], pdf[pdf["kind"] == 0]
+        ids, sizes = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int32)
+        tokens, place, often = (np.frombuffer(b"".join(part[c]), t) for c, t in (("a", np.uint64), ("b", np.uint16), ("c", np.uint32)))
+        order = np.lexsort((tokens, often, place))
+        tokens, place = tokens[order], place[order].astype(np.int64)
+        n = np.bincount(place, minlength=len(ids))
+        # A document's own shingles come first in its prefix; what is left of the prefix are its rarest shared ones.
+        left = prefix_size(sizes.astype(np.int64)) - (sizes - n)
+        rank = np.arange(len(place)) - (np.cumsum(n) - n)[place]
+        kept = rank < left[place]
+        forest, edges = Forest(), []
+        tokens, ids, lo, hi = _runs(tokens[kept], ids[place[kept]], sizes[place[kept]], sizes[place[kept]], forest, edges)
+        bucket = (_mixed(tokens) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            o, mine = order[ends[k] : ends[k + 1]], edges[k::buckets]
+            if len(o) or mine:
+                rows.append((k, tokens[o].tobytes(), ids[o].tobytes(), lo[o].tobytes(), hi[o].tobytes(), np.array(mine, np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=_ENTRY_NAMES)
+
+    return run
+
+
 def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: a spanning forest of its candidate edges."""
     joined = [b"".join(pdf[c]) for c in _ENTRY_NAMES[1:]]
@@ -324,50 +335,48 @@ def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of texts, for rows whose text still has the digest asked for."""
-    for batch in batches:
-        sets = [shingles(x) for x in _binary(batch, 5)]
-        asked = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        kept = pa.array([len(s) > 0 and digest(s) == d for s, d in zip(sets, asked, strict=True)], pa.bool_())
-        columns = [*[batch.column(k) for k in range(5)], pa.array([s.tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "rep", "cluster", "blocks", "shingles"]).filter(kept)
+def _sets(bits: np.ndarray):
+    """Sets of the documents that may head a candidate set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            may = np.array([zlib.crc32(str(i).encode()) for i in ids], np.int64) % (8 * len(bits))
+            part = batch.filter(pa.array((bits[may >> 3] >> (may & 7) & 1).astype(bool)))
+            sets = [shingles(x) for x in _binary(part, 1)]
+            digests = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "d1", "d2", "shingles"])
 
+    return run
 
-def _may_be_member(members: DataFrame):
-    """A condition on ``doc_id``: false only for documents that are no candidates (a Bloom filter of fixed size)."""
-    from pointloom.llm.urls import _block_and_mask
 
-    block, mask = _block_and_mask(F.col("rep"), FILTER_WORDS)
-    words = bytearray(4 * FILTER_WORDS)
-    for row in members.select(block.alias("b"), mask.alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).collect():
-        words[4 * row.b : 4 * row.b + 4] = row.m.to_bytes(4, "big")
-    block, mask = _block_and_mask(F.col("doc_id"), FILTER_WORDS)
-    word = F.conv(F.hex(F.substring(F.lit(bytes(words)), (block * 4 + 1).cast("int"), 4)), 16, 10).cast("long")
-    return word.bitwiseAND(mask) == mask
+def _filter_of(members: DataFrame) -> np.ndarray:
+    """Bits of the members' ids, in a table of fixed size; it spares most texts, never a member."""
+    place = F.crc32(F.col("rep").cast("string").cast("binary")) % (8 * FILTER_BYTES)
+    words = members.select(F.floor(place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("m"))
+    found = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bits = np.zeros(FILTER_BYTES // 4, np.uint32)
+    bits[found.column("w").to_numpy()] = found.column("m").to_numpy().astype(np.uint32)
+    return bits.view(np.uint8)
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, rep) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = stored(rows.mapInArrow(_facts, _FACTS), "kind")
-    late = facts.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(ORDERED_LAST).collect()
-    by_token = sorted((r.d1 & ((1 << 64) - 1), len(late) - k) for k, r in enumerate(late))  # ranks: the most frequent last
-    late_tokens, late_rank = np.array([t for t, _ in by_token], np.uint64), np.array([k for _, k in by_token], np.int64)
-
-    info = facts.where("kind = 0").select("doc_id", "d1", "d2", "n")
+    info = stored(rows.mapInArrow(_facts, "doc_id long, d1 long, d2 long, n long"))
     reps = stored(info.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    entries = rows.select("text").mapInArrow(_prefixes(late_tokens, late_rank, buckets), _ENTRIES)
-    edges = stored(entries.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_candidates, "a long, b long"))
+    buckets = max(shuffle_partitions(spark), -(-(info.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES))
+    tokens = rows.select("text").mapInArrow(_shingles_by_bucket(buckets), _ROWS)
+    shared = tokens.repartition(buckets, "key").groupBy("key").applyInPandas(_shared, _ROWS)
+    entries = shared.groupBy("block").applyInPandas(_prefixes(buckets), _ENTRIES)
+    edges = stored(entries.groupBy("bucket").applyInPandas(_candidates, "a long, b long"))
     clusters = connected_components(edges)
 
     members = stored(reps.join(clusters.withColumnsRenamed({"node": "d1", "component": "cluster"}), "d1").select("d1", "d2", "rep", "cluster"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     tasks = members.join(sizes, "cluster").select("d1", "d2", "rep", "cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    texts = rows.where(_may_be_member(members)).join(tasks, F.col("doc_id") == F.col("rep")).select("d1", "d2", "rep", "cluster", "blocks", "text")
-    sets = texts.mapInArrow(_sets, "d1 long, d2 long, rep long, cluster long, blocks int, shingles binary")
+    sets = rows.mapInArrow(_sets(_filter_of(members)), "rep long, d1 long, d2 long, shingles binary").join(tasks, ["d1", "d2", "rep"])
     block = F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "d2", "rep", "shingles")
