@@ -179,3 +179,28 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
+  length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+x AS (SELECT r, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'upper', 'word_len']) AS metric,
+  unnest([1000 * n_symbols // n_words, 1000 * n_dup_lines // n_lines, 1000 * n_repeat_words // n_words, 1000 * n_upper // word_chars, 100 * word_chars // n_words]) AS v FROM b WHERE NOT base_failed),
+s AS (SELECT lang, source, metric, v - v % pow(2, greatest(0, length(bin(v)) - 6))::BIGINT AS bucket, count(*) AS n FROM x GROUP BY ALL),
+l AS (SELECT 0 AS level, * FROM s UNION ALL SELECT 1, lang, NULL, metric, bucket, sum(n) FROM s GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, metric, bucket, sum(n) FROM s GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM l),
+q AS (SELECT level, lang, source, metric, max(total) AS total, min(bucket) FILTER (4 * c >= total) AS q1, min(bucket) FILTER (4 * c >= 3 * total) AS q3 FROM u GROUP BY ALL),
+h AS (SELECT *, q3 + greatest(CASE metric WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 450 WHEN 'repeats' THEN 300 WHEN 'upper' THEN 300 ELSE 300 END, 3 * (q3 - q1)) AS hi,
+  CASE metric WHEN 'word_len' THEN q1 - greatest(200, 3 * (q3 - q1)) END AS lo FROM q),
+o AS (SELECT a.lang, a.source, a.metric, CASE WHEN a.total >= 50 THEN a.hi WHEN e.total >= 50 THEN e.hi ELSE z.hi END AS hi, CASE WHEN a.total >= 50 THEN a.lo WHEN e.total >= 50 THEN e.lo ELSE z.lo END AS lo
+  FROM (SELECT * FROM h WHERE level = 0) a JOIN (SELECT * FROM h WHERE level = 1) e ON a.metric = e.metric AND a.lang IS NOT DISTINCT FROM e.lang JOIN (SELECT * FROM h WHERE level = 2) z ON a.metric = z.metric),
+y AS (SELECT x.r, bool_and(v <= hi AND (lo IS NULL OR v >= lo)) AS ok FROM x JOIN o ON x.metric = o.metric AND x.lang IS NOT DISTINCT FROM o.lang AND x.source IS NOT DISTINCT FROM o.source GROUP BY x.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(ok, false) AS kept FROM b LEFT JOIN y USING (r)
+"""

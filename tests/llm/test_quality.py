@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from helpers import duck_rows, spark_rows
 from pyspark.sql import Row
 
 from pointloom.llm import quality as q
@@ -44,6 +45,10 @@ def test_statistics_on_the_table(spark, sf):
         assert got[r.doc_id] == (*e, e[0] < 50 or 100 * e[4] > 50 * e[0])
 
 
+def test_query_same_as_sql(spark, duck, sf):
+    assert spark_rows(q.op1_quality_rules(spark, sf)) == duck_rows(duck, q.ORACLE)
+
+
 def test_exact_path_equals_fast_path(spark, monkeypatch):
     monkeypatch.setattr(q, "_COLLIDES", "true")
     monkeypatch.setattr(q, "_PLACES", q._PLACES.replace("n_words > 1048576 OR", "true OR"))
