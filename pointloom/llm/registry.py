@@ -1,6 +1,6 @@
 """Queries of this folder and, where SQL can express them, their DuckDB texts."""
 
-from pointloom.llm import mixing, quality, urls
+from pointloom.llm import mixing, near, quality, urls
 from pointloom.llm.ann import op5_nearest
 from pointloom.llm.html import op3_html_extraction
 from pointloom.llm.langid import op2_language_id
@@ -28,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op7_url_filter": urls.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op9_jaccard_join": near.ORACLE,
 }
