@@ -89,3 +89,43 @@ def opening_kind(width, height, sill, wall_height, vacancy, sill_support, cell:
 def split_columns(support: DataFrame, least: float, width: int, by: Sequence[str] = ("grp",)) -> DataFrame:
     """Parts of a wide void between columns (grp, ix, support) that are supported: runs at least ``width`` wide."""
     return O.runs(support.where(F.col("support") < num(least)), list(by), "ix").where(F.col("cells") >= width)
+
+
+def rasterised(boxes: DataFrame, cell: float, by: str = "grp") -> DataFrame:
+    """Cells whose centre lies in a box (by, x0, x1, y0, y1); the plan algebra works on such cells."""
+    low = lambda c: F.ceil(F.col(c) / num(cell) - num(0.5)).cast("long")
+    out = boxes.withColumn("ix", F.explode(F.sequence(low("x0"), F.greatest(low("x0"), low("x1") - 1)))).withColumn("iy", F.explode(F.sequence(low("y0"), F.greatest(low("y0"), low("y1") - 1))))
+    return out.where((F.col("ix") < low("x1")) & (F.col("iy") < low("y1"))).select(F.col(by).alias("grp"), "ix", "iy").distinct()
+
+
+def plan_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cells of the union, intersection, differences and symmetric difference of two masks, counted per group in one pass."""
+    one, zero = F.lit(1), F.lit(0)
+    both = a.distinct().withColumn("in_a", one).withColumn("in_b", zero).unionByName(b.distinct().withColumn("in_a", zero).withColumn("in_b", one))
+    cells = both.groupBy("grp", "ix", "iy").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    return cells.groupBy("grp").agg(
+        F.count(one).alias("union"), F.sum(F.col("in_a") * F.col("in_b")).alias("intersection"), F.sum(F.col("in_a") * (1 - F.col("in_b"))).alias("a_only"),
+        F.sum((1 - F.col("in_a")) * F.col("in_b")).alias("b_only"), F.sum(F.abs(F.col("in_a") - F.col("in_b"))).alias("symmetric"),
+    )
+
+
+def spaces(walls: DataFrame, frames: DataFrame, least: int) -> DataFrame:
+    """Rooms: free components of at least ``least`` cells that do not reach the frame (grp, x0, x1, y0, y1)."""
+    found = boxes(labelled(complement(walls, frames)))
+    f = frames.select("grp", *[F.col(c).alias(f"f_{c}") for c in ("x0", "x1", "y0", "y1")])
+    inside = (F.col("x0") > F.col("f_x0")) & (F.col("x1") < F.col("f_x1")) & (F.col("y0") > F.col("f_y0")) & (F.col("y1") < F.col("f_y1"))
+    return found.join(f, "grp").where(inside & (F.col("area") >= least)).select("grp", "component", "x0", "x1", "y0", "y1", "area")
+
+
+def protruding(found: DataFrame, cell: float, depth: float = 0.08, width: tuple[float, float] = (0.08, 1.2), tall: float = 1.5, fill: float = 0.4) -> DataFrame:
+    """Boxes of deep cells that may be columns: deep, narrow, tall and filled enough."""
+    w, h = (F.col("x1") - F.col("x0") + 1) * num(cell), (F.col("y1") - F.col("y0") + 1) * num(cell)
+    dense = F.col("area") >= num(fill) * (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    return found.where(w.between(num(width[0]), num(width[1])) & (h >= num(tall)) & dense)
+
+
+def semantic_regions(members: DataFrame, voids: DataFrame, least: int = 6, covered: float = 0.5) -> DataFrame:
+    """Labelled components (component, grp, ix, iy) of enough cells of which voids do not cover more than a share."""
+    m = members.join(voids.distinct().withColumn("void", F.lit(1)), ["grp", "ix", "iy"], "left")
+    n = m.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("cells"), F.count("void").alias("in_void"))
+    return n.where((F.col("cells") >= least) & (F.col("in_void") <= num(covered) * F.col("cells")))
