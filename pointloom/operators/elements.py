@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -54,6 +55,66 @@ def accepted(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("host").applyInPandas(_suppressed, "host long, opening long")
 
 
+def _complete_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    groups: list[list] = []
+
+    def same(a, b) -> bool:
+        w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
+        return w > 0 and h > 0 and w * h >= 0.5 * min((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))
+
+    for row in pdf.sort_values("opening").itertuples(index=False):
+        for g in groups:
+            if all(same(row, k) for k in g):
+                g.append(row)
+                break
+        else:
+            groups.append([row])
+    return pd.DataFrame([(r.host, r.opening, g[0].opening) for g in groups for r in g], columns=["host", "opening", "grp"])
+
+
+def complete_links(boxes: DataFrame) -> DataFrame:
+    """Groups of boxes per host, in order of id: a box joins the first group of which it duplicates every member."""
+    return boxes.groupBy("host").applyInPandas(_complete_links, "host long, opening long, grp long")
+
+
+def _paired(pdf: pd.DataFrame) -> pd.DataFrame:
+    used, rows = set(), []
+    for first, group in pdf.sort_values(["first", "along", "second"]).groupby("first", sort=True):
+        free = group[~group["second"].isin(used)]
+        if len(free):
+            r = free.iloc[0]
+            used.add(r["second"])
+            rows.append((r["wall"], first, r["second"]))
+    return pd.DataFrame(rows, columns=["wall", "first", "second"])
+
+
+def paired_openings(candidates: DataFrame) -> DataFrame:
+    """Openings of two walls matched in order of id, each to its nearest free counterpart (wall, first, second, along)."""
+    return candidates.groupBy("wall").applyInPandas(_paired, "wall long, first long, second long")
+
+
+def transformed(rows: DataFrame, yaw: float, dx: float, dy: float, dz: float, planar: Sequence[tuple[str, str]], heights: Sequence[str]) -> DataFrame:
+    """Rigid alignment that keeps the vertical: planar coordinate pairs are turned and moved, heights moved."""
+    c, s = math.cos(math.radians(yaw)), math.sin(math.radians(yaw))
+    new = {}
+    for x, y in planar:
+        new[x] = num(c) * F.col(x) - num(s) * F.col(y) + num(dx)
+        new[y] = num(s) * F.col(x) + num(c) * F.col(y) + num(dy)
+    return rows.withColumns({**new, **{z: F.col(z) + num(dz) for z in heights}})
+
+
+def split_walls(walls: DataFrame, cuts: DataFrame, openings: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Walls (id, length) cut at cuts (id, at) into parts (id, part, lo, hi), and openings (opening, id, offset, width) on the part
+    that holds them; a cut that leaves too short a part or goes through an opening is not made."""
+    through = cuts.join(openings, "id").where((F.col("offset") < F.col("at")) & (F.col("offset") + F.col("width") > F.col("at"))).select("id", "at")
+    fit = cuts.join(walls, "id").where((F.col("at") >= num(least)) & (F.col("length") - F.col("at") >= num(least))).select("id", "at").join(through, ["id", "at"], "left_anti").distinct()
+    marks = walls.select("id", num(0).alias("at")).unionByName(fit)
+    w = Window.partitionBy("id").orderBy("at")
+    parts = marks.join(walls, "id").select("id", F.row_number().over(w).alias("part"), F.col("at").alias("lo"), F.coalesce(F.lead("at").over(w), F.col("length")).alias("hi"))
+    moved = openings.join(parts, "id").where((F.col("offset") >= F.col("lo")) & (F.col("offset") + F.col("width") <= F.col("hi"))).select("opening", "id", "part", (F.col("offset") - F.col("lo")).alias("offset"))
+    return parts, moved
+
+
 def endpoint_status(ends: DataFrame, segments: DataFrame, snap: float, t_snap: float) -> DataFrame:
     """Class of each wall end (id, x, y) by the nearest point of another wall's segment in its storey: corner, junction, free."""
     pairs = ends.join(segments, "storey").where(F.col("wall") != F.col("other"))

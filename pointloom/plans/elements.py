@@ -376,3 +376,55 @@ def geometry_change(spark, d):
 def stage_rollup(spark, d):
     e = read(spark, d, "events").select(c("event_type").alias("stage"), c("user_id").alias("user"), (c("event_id") % 100).alias("visits"), c("value").alias("peak"), "ts")
     return M.stage_rollup(e)
+
+
+# --- edits, fusion and alignment ---------------------------------------------------------------------
+
+
+@query()
+def complete_link_groups(spark, d):
+    """Complete-link groups of openings per host; sequential, so rows only."""
+    k = c("c_custkey")
+    x0, y0 = ((k * 7) % 60) / num(10), ((k * 3) % 20) / num(10)
+    return M.complete_links(read(spark, d, "customer").select(c("c_nationkey").alias("host"), k.alias("opening"), x0.alias("x0"), (x0 + num(1.2)).alias("x1"), y0.alias("y0"), (y0 + num(1.4)).alias("y1")))
+
+
+@query()
+def paired_openings(spark, d):
+    """Openings of facing walls, each used once; greedy in order of id, so rows only."""
+    o = read(spark, d, "customer").select(c("c_nationkey").alias("wall"), c("c_custkey").alias("id"), (((c("c_custkey") * 7) % 120) / num(10)).alias("x"))
+    a, b = o.where("id % 2 = 0").select("wall", c("id").alias("first"), c("x").alias("ax")), o.where("id % 2 = 1").select("wall", c("id").alias("second"), c("x").alias("bx"))
+    return M.paired_openings(a.join(b, "wall").withColumn("along", F.abs(c("ax") - c("bx"))).where(c("along") <= num(0.15)).select("wall", "first", "second", "along"))
+
+
+@query("SELECT s_suppkey AS id, CAST(round((0e0 * (s_suppkey % 10) - 1e0 * (s_suppkey % 7) + 2.5e0) * 1e6) AS BIGINT) AS x_micro, CAST(round((1e0 * (s_suppkey % 10) + 0e0 * (s_suppkey % 7) - 1.5e0) * 1e6) AS BIGINT) AS y_micro, CAST(round((s_suppkey % 3 + 0.25e0) * 1e6) AS BIGINT) AS z_micro FROM supplier")
+def transformed_model(spark, d):
+    """A model turned by 90 degrees and moved."""
+    k = c("s_suppkey")
+    rows = read(spark, d, "supplier").select(k.alias("id"), (k % 10).cast("double").alias("x"), (k % 7).cast("double").alias("y"), (k % 3).cast("double").alias("z"))
+    return M.transformed(rows, 90.0, 2.5, -1.5, 0.25, [("x", "y")], ["z"]).select("id", *[micro(c(n)).alias(f"{n}_micro") for n in "xyz"])
+
+
+SPLIT_SQL = """w AS (SELECT s_suppkey AS id, 6e0 AS length FROM supplier), cu AS (SELECT DISTINCT c_custkey % 100 + 1 AS id, (c_custkey % 12) * 0.5e0 AS at_ FROM customer), o AS (SELECT p_partkey AS opening, p_partkey % 100 + 1 AS id, (p_partkey % 17) * 0.3e0 AS offs, 0.6e0 AS width FROM part WHERE p_partkey % 9 = 0),
+f AS (SELECT cu.id, at_ FROM cu JOIN w USING (id) WHERE at_ >= 0.5e0 AND length - at_ >= 0.5e0 AND NOT EXISTS (SELECT 1 FROM o WHERE o.id = cu.id AND offs < at_ AND offs + width > at_)), m AS (SELECT id, 0e0 AS at_ FROM w UNION ALL SELECT * FROM f),
+p AS (SELECT m.id, CAST(row_number() OVER (PARTITION BY m.id ORDER BY at_) AS INTEGER) AS part, at_ AS lo, coalesce(lead(at_) OVER (PARTITION BY m.id ORDER BY at_), length) AS hi FROM m JOIN w USING (id))"""
+
+
+def split(spark, d):
+    s, k, p = c("s_suppkey"), c("c_custkey"), c("p_partkey")
+    walls = read(spark, d, "supplier").select(s.alias("id"), num(6).alias("length"))
+    cuts = read(spark, d, "customer").select((k % 100 + 1).alias("id"), ((k % 12) * num(0.5)).alias("at")).distinct()
+    openings = read(spark, d, "part").where(p % 9 == 0).select(p.alias("opening"), (p % 100 + 1).alias("id"), ((p % 17) * num(0.3)).alias("offset"), num(0.6).alias("width"))
+    return M.split_walls(walls, cuts, openings, 0.5)
+
+
+@query(f"WITH {SPLIT_SQL} SELECT id, part, lo, hi FROM p")
+def split_walls(spark, d):
+    """Walls cut where no opening is cut through and no part is too short."""
+    return split(spark, d)[0]
+
+
+@query(f"WITH {SPLIT_SQL} SELECT opening, o.id, part, CAST(round((offs - lo) * 1e6) AS BIGINT) AS offset_micro FROM o JOIN p USING (id) WHERE offs >= lo AND offs + width <= hi")
+def reassigned_openings(spark, d):
+    """Openings follow their part of a split wall."""
+    return split(spark, d)[1].select("opening", "id", "part", micro(c("offset")).alias("offset_micro"))
