@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from helpers import spark_rows
 
+from pointloom.functions.shipping import ship
 from pointloom.operators import cluster, grid, providers, quality
 from pointloom.operators import sampling as S
 from pointloom.operators.elements import signature
@@ -57,6 +58,9 @@ def test_benchmark_needs_a_required_held_out_case(spark):
         assert quality.benchmark_passes(cases, results).first().passed is want
 
 
+ship(__name__)  # tasks must know these classes
+
+
 class Broken(providers.Provider):
     name = "broken"
 
