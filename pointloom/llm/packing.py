@@ -1,9 +1,9 @@
 """Best-fit packing of documents into token sequences (operator 4), by hierarchical residual packing.
 
 Each partition tokenizes its documents and packs their pieces best-fit, longest first. Sequences that
-are nearly full are emitted; the others are the residual, and become items themselves: partitions
-are merged ``FAN`` at a time without a shuffle, and each merged one packs its underfull sequences best-fit again,
-round by round, until one partition is left or a round gains little. Every round's sequences are
+are nearly full are emitted. The rest is the residual: underfull sequences, taken apart into sequences of one
+piece, become the items of the next round. Partitions are merged ``FAN`` at a time without a shuffle, and each merged one packs
+its items best-fit again, round by round, until one partition is left and keeps what it has. Every round's sequences are
 written to the shared folder, so a lost executor repeats one round's task only. A task holds at most
 ``TASK_ITEMS`` items, whatever the corpus.
 
@@ -32,11 +32,11 @@ CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: A sequence with at most this many free places is emitted at once.
-NEARLY = 8
+NEARLY = 1
 FAN = 8
 TASK_ITEMS = 200_000
-#: Another round is made while the last one saved at least this share of its sequences.
-GAIN = 0.01
+#: The round that keeps underfull sequences even if several tasks are left.
+LAST_ROUND = 12
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _SCHEMA = pa.schema([("sequence_id", pa.int64()), ("used", pa.int32()), ("full", pa.bool_()), ("pieces", pa.list_(_PIECE))])
@@ -91,6 +91,15 @@ def _batch(bins: list[tuple[int, int, bool, list]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b[0] for b in bins], pa.int64()), pa.array([b[1] for b in bins], pa.int32()), pa.array([b[2] for b in bins], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends), pieces)], schema=_SCHEMA)
 
 
+def _sorted_out(bins: list[tuple[int, list]], number: Iterator[int], last: bool) -> Iterator[tuple[int, int, bool, list]]:
+    """Rows for nearly full sequences, or for all in the last round; of others, a row for each piece."""
+    for used, pieces in bins:
+        if last or used >= CAPACITY - NEARLY:
+            yield next(number), used, True, pieces
+        else:
+            yield from ((next(number), p[3], False, [(*p[:5], 0)]) for p in pieces)
+
+
 def _numbers(round_: int) -> Iterator[int]:
     """Sequence ids: unlike in any other task and round, the same again if the task is repeated."""
     first = (round_ << 56) | (TaskContext.get().partitionId() << 32)
@@ -109,7 +118,7 @@ def _first_round(path: str | None):
         encode, number, items = encoder(path), _numbers(0), []
 
         def packed():
-            bins = [(next(number), used, used >= CAPACITY - NEARLY, pieces) for used, pieces in best_fit(items)]
+            bins = list(_sorted_out(best_fit(items), number, False))
             items.clear()
             for k in range(0, len(bins), 20_000):
                 yield _batch(bins[k : k + 20_000])
@@ -132,16 +141,16 @@ def _first_round(path: str | None):
     return run
 
 
-def _next_round(round_: int):
+def _next_round(round_: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, items = _numbers(round_), []
         for batch in batches:
             for used, pieces in zip(batch.column("used").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
                 items.append((used, [tuple(p.values()) for p in pieces]))
             while len(items) >= TASK_ITEMS:
-                yield _batch([(next(number), u, u >= CAPACITY - NEARLY, p) for u, p in best_fit(items[:TASK_ITEMS])])
+                yield _batch(list(_sorted_out(best_fit(items[:TASK_ITEMS]), number, last)))
                 del items[:TASK_ITEMS]
-        yield _batch([(next(number), u, u >= CAPACITY - NEARLY, p) for u, p in best_fit(items)])
+        yield _batch(list(_sorted_out(best_fit(items), number, last)))
 
     return run
 
@@ -151,18 +160,12 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     rows = stored(docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(_first_round(path), _DDL))
     done, rest = rows.where("full"), rows.where("NOT full")
     tasks, left, round_ = max(1, rest.rdd.getNumPartitions()), rest.count(), 0
-    while left > 1:
+    while left:
         round_, tasks = round_ + 1, max(1, -(-left // TASK_ITEMS), -(-tasks // FAN))
-        rows = stored(rest.coalesce(tasks).mapInArrow(_next_round(round_), _DDL))
-        now, rest = rows.count(), rows.where("NOT full")
-        gain, left = left - now, rest.count()
-        last = left <= 1 or (tasks == 1) or (gain < GAIN * (gain + now) and tasks <= -(-left // TASK_ITEMS))
-        if last:
-            done, rest = done.unionByName(rows), None
-            break
-        done = done.unionByName(rows.where("full"))
-    if rest is not None:
-        done = done.unionByName(rest)
+        last = tasks == 1 or round_ == LAST_ROUND
+        rows = stored(rest.coalesce(tasks).mapInArrow(_next_round(round_, last), _DDL))
+        done, rest = done.unionByName(rows.where("full")), rows.where("NOT full")
+        left = 0 if last else rest.count()
     return done.select("sequence_id", F.explode("pieces").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
 
 
