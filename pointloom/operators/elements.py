@@ -199,7 +199,7 @@ def signature(elements: DataFrame, *columns: str) -> DataFrame:
 def geometry_change(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Largest change per kind over elements paired by ordinal; an unpaired element gives null."""
     j = before.select("kind", "ordinal", *[F.col(c).alias(f"b_{c}") for c in columns]).join(after.select("kind", "ordinal", *[F.col(c).alias(f"a_{c}") for c in columns]), ["kind", "ordinal"], "full_outer")
-    change = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns])
+    change = F.array_max(F.array(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns]))
     whole = F.bool_and(F.col(f"a_{columns[0]}").isNotNull() & F.col(f"b_{columns[0]}").isNotNull())
     return j.groupBy("kind").agg(F.when(whole, F.max(change)).alias("change"))
 
