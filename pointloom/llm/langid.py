@@ -89,8 +89,14 @@ def held_out(doc_id: Column) -> Column:
 def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """Fit on at most ``per_language`` labelled rows of each language; only their vectors reach the driver."""
     named = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    picked = named.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language).select("doc_id", F.col("lang").alias("_lang")).distinct().collect()
+    # Languages are few. A digest below this share of its range keeps about four times the rows that are
+    # wanted of each, so that what is ranked does not grow with the corpus.
+    digest = F.md5(F.col("doc_id").cast("string"))
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    near = named.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") < 4.0 * per_language)
+    order = Window.partitionBy("lang").orderBy(digest, "doc_id")
+    picked = near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language).select("doc_id", F.col("lang").alias("_lang")).distinct().collect()
     if not picked:
         return None
     spark = docs.sparkSession
