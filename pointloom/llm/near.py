@@ -394,10 +394,14 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that head their group (smallest doc_id), one row for each id; same columns."""
-    heads = stored(joined(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_head")).distinct())
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that head their group (smallest doc_id), one row for each id; same columns.
+
+    The texts are shuffled once: the semi-join and the removal of repeated ids share one key.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    heads = stored(joined(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_pointloom_key")).distinct())
+    kept = docs.withColumn("_pointloom_key", key).join(heads, "_pointloom_key", "left_semi")
+    return kept.dropDuplicates(["_pointloom_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
