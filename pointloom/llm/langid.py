@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ship, table
+from pointloom.llm.common import ship, stored, table
 
 PER_LANGUAGE = 300
 LANDMARKS = 256
 RIDGE = 1e-3
+#: Counts of up to this many languages are broadcast; beyond, the join shuffles.
+BROADCAST_LANGUAGES = 100_000
 #: Places for hashed n-grams, by n.
 PLACES = {1: 1 << 10, 2: 1 << 12, 3: 1 << 13}
 WIDTH = sum(PLACES.values())
@@ -92,7 +94,8 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str
     # Languages are few. A digest below this share of its range keeps about four times the rows that are
     # wanted of each, so that what is ranked does not grow with the corpus.
     digest = F.md5(F.col("doc_id").cast("string"))
-    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = stored(named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).coalesce(1))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     near = named.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") < 4.0 * per_language)
     order = Window.partitionBy("lang").orderBy(digest, "doc_id")
