@@ -40,8 +40,8 @@ DATE = r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_.-]{8,}"""
 ANY = "|".join([SECRET, MAIL, DATE, SSN, IPV4, PHONE, CARD])
-#: A text without any of these holds nothing of the above.
-GATE = r"[0-9]{2}|@|(?i:token|secret|passw|key)[\"']?\s{0,3}[=:]"
+#: A text without any of these holds nothing of the above: each number but an address of single digits has two digits side by side.
+GATE = r"[0-9]\.?[0-9]|@|(?i:token|secret|passw(?:or)?d|key)[\"']?\s{0,3}[=:]"
 
 
 def _lit(s: str) -> str:

@@ -129,6 +129,13 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert out.columns == [*docs.columns, "n_chars"] and all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
 
 
+def test_gate_passes_whatever_the_patterns_match(spark):
+    texts = [*SAMPLES, 'password = "correcthorse"', "PASSWD: abcdefghi", "api_key=abcdefghi", "access-key: 'abcdefghi'", "secret:abcdefghi", "dns 8.8.8.8 here", "1.1.1.1", "me@example.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    assert all(got[i].text != t and len(got[i].pii) == 1 for i, t in enumerate(texts))
+
+
 def test_pseudonyms_are_one_to_one(spark):
     ids = spark.range(4000)
     texts = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("10.0."), (F.col("id") / 250).cast("int"), F.lit("."), F.col("id") % 250, F.lit(" "), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).cast("string")).alias("text"))
