@@ -19,8 +19,9 @@ least ``PERCENT`` per cent are linked. The steps, each over all documents:
 5. Components of the links, carried to all documents through the digests.
 
 Shingles are 64-bit hashes of their words. Defined results: null text and text without words have an empty
-set and are linked with nothing; a null doc_id counts as larger than all others; repeated rows are returned as often as
-they come; empty tables give empty results; extra columns are ignored.
+set and are linked with nothing; a null doc_id counts as larger than all others; sets are told apart by their digests, so
+documents with null or repeated ids are linked by their texts alone; repeated rows are returned as often as they
+come; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +35,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import ship, shuffle_partitions, stored, table
+from pointloom.llm.common import SPACE, ship, shuffle_partitions, stored, table
 from pointloom.llm.components import connected_components
 
 N = 5
@@ -161,11 +162,11 @@ def _binary(batch: pa.RecordBatch, k: int) -> list[bytes | None]:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document with its digest and set size."""
+    """Each document (doc_id, text, fingerprint) with its digest and set size."""
     for batch in batches:
         sets = [shingles(x) for x in _binary(batch, 1)]
         a = np.array([(*(digest(s) if len(s) else (0, 0)), len(s)) for s in sets], np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(a[:, k]) for k in range(3)]], names=["doc_id", "d1", "d2", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(a[:, k]) for k in range(3)]], names=["doc_id", "print", "d1", "d2", "n"])
 
 
 _ROWS = "key long, block long, kind int, a binary, b binary, c binary"
@@ -331,7 +332,7 @@ def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["d1", "d2"])
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
         if len(sets) > 1:
-            out += links_within(group["rep"].tolist(), sets, None if i == j else group["block"].tolist())
+            out += links_within(group["node"].tolist(), sets, None if i == j else group["block"].tolist())
     return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
@@ -360,12 +361,25 @@ def _filter_of(members: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+
+
+def _print() -> Column:
+    """Fingerprint of the whole text."""
+    return F.md5(F.col("text").cast("string").cast("binary"))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts of each row (doc_id, print, d1, d2, n), and the component of each set that is not empty (d1, d2, rep, print, component).
+
+    ``rep`` and ``print`` are the smallest row of the set. A set is a node of its own, whatever ids its documents have.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = stored(rows.mapInArrow(_facts, "doc_id long, d1 long, d2 long, n long"))
-    reps = stored(info.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    rows = docs.select(_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    info = stored(rows.select("doc_id", "text", _print().alias("print")).mapInArrow(_facts, "doc_id long, print string, d1 long, d2 long, n long"))
+    least = info.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "print")).alias("m"))
+    reps = stored(least.select("d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.print").alias("print"), F.monotonically_increasing_id().alias("node")))
     buckets = max(shuffle_partitions(spark), -(-(info.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES))
     tokens = rows.select("text").mapInArrow(_shingles_by_bucket(buckets), _ROWS)
     shared = tokens.repartition(buckets, "key").groupBy("key").applyInPandas(_shared, _ROWS)
@@ -373,35 +387,45 @@ def joined(docs: DataFrame) -> DataFrame:
     edges = stored(entries.groupBy("bucket").applyInPandas(_candidates, "a long, b long"))
     clusters = connected_components(edges)
 
-    members = stored(reps.join(clusters.withColumnsRenamed({"node": "d1", "component": "cluster"}), "d1").select("d1", "d2", "rep", "cluster"))
+    members = stored(reps.join(clusters.withColumnsRenamed({"node": "d1", "component": "cluster"}), "d1").select("d1", "d2", "rep", "node", "cluster"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    tasks = members.join(sizes, "cluster").select("d1", "d2", "rep", "cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    tasks = members.join(sizes, "cluster").select("d1", "d2", "rep", "node", "cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     sets = rows.mapInArrow(_sets(_filter_of(members)), "rep long, d1 long, d2 long, shingles binary").join(tasks, ["d1", "d2", "rep"])
     block = F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")
     spread = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "d2", "rep", "shingles")
+    spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "d2", "node", "shingles")
     task = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * buckets)).cast("int")
     links = stored(spread.withColumn("task", task).groupBy("task").applyInPandas(_verified, "a long, b long"))
     found = connected_components(links)
 
-    names = reps.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
+    return info, reps.join(found, "node", "left").select("d1", "d2", "rep", "print", F.coalesce("component", "node").alias("component"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    info, sets = _components(docs)
+    names = sets.join(sets.groupBy("component").agg(F.min("rep").alias("name")), "component").select("d1", "d2", "name")
     out = info.join(names, ["d1", "d2"], "left")
 
     def shown(c):
         return F.when(c != _NULL_ID, c)
 
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.coalesce("name", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that head their group (smallest doc_id), one row for each id; same columns.
+    """One row of ``docs`` for each component: smallest doc_id, then smallest fingerprint of the text; same columns.
 
-    The texts are shuffled once: the semi-join and the removal of repeated ids share one key.
+    Texts without words are linked with nothing, so all their rows stay. The other texts are shuffled once: the semi-join
+    and the removal of repeated rows share one key.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    heads = stored(joined(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_pointloom_key")).distinct())
-    kept = docs.withColumn("_pointloom_key", key).join(heads, "_pointloom_key", "left_semi")
-    return kept.dropDuplicates(["_pointloom_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, sets = _components(docs)
+    heads = sets.groupBy("component").agg(F.min(F.struct("rep", "print")).alias("m"))
+    heads = stored(heads.select(F.col("m.rep").alias("_pointloom_key"), F.col("m.print").alias("_pointloom_print")))
+    keys = ["_pointloom_key", "_pointloom_print"]
+    worded = F.coalesce(F.col("text").cast("string").rlike(f"[^{SPACE}]"), F.lit(False))
+    kept = docs.where(worded).withColumns(dict(zip(keys, (_key(), _print()), strict=True))).join(heads, keys, "left_semi")
+    return kept.dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where(~worded))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

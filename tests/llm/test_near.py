@@ -97,6 +97,17 @@ def test_repeated_rows_null_ids_and_extra_columns(spark):
     assert near.joined(docs.limit(0)).count() == 0 and near.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_unlike_texts_with_null_or_repeated_ids_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = [(None, a + " more", 0), (5, a, 1), (None, b + " more", 2), (9, b, 3), (None, c, 4), (None, c + " more", 5), (None, d, 6), (7, "one text", 7), (7, "another text here", 8), (None, "", 9), (None, None, 10), (None, " ", 11)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row long").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in near.joined(df.where("row < 4")).collect()}
+    assert got == {(None, 5), (5, 5), (None, 9), (9, 9)}  # two sets without ids are not one
+    kept = sorted(r.row for r in near.one_of_each(df).collect())
+    assert len(kept) == 9 and {1, 3, 6, 7, 8, 9, 10, 11} < set(kept) and len({4, 5} & set(kept)) == 1
+    assert sorted(r.row for r in near.one_of_each(df.repartition(1)).collect()) == kept
+
+
 def test_shingles_follow_the_words():
     assert len(near.shingles(b"a b c d e f")) == 2 and len(near.shingles(b"a b")) == 1 and len(near.shingles(b" ")) == 0
     assert near.shingles("A\x0bB \x1fc".encode()).tolist() == near.shingles("a b \x1fC".encode()).tolist()
