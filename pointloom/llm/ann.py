@@ -78,10 +78,9 @@ class Block:
                 if len(fresh):
                     rows.append(fresh)
                     scores.append(self.cosines(queries[q], fresh))
-                count = sum(map(len, scores))
-                if count >= k and not over:
-                    every = np.concatenate(scores)
-                    over = 2 - 2 * np.partition(every, count - k)[count - k] <= radius * radius
+                if sum(map(len, scores)) >= k and not over:
+                    top = best_of(self.ids[np.concatenate(rows)], np.concatenate(scores), k)[1]  # a repeated id counts once
+                    over = len(top) == k and 2 - 2 * top[-1] <= radius * radius
                 if over:
                     yield q, self.ids[np.concatenate(rows)] if rows else self.ids[:0], np.concatenate(scores) if rows else np.zeros(0)
                     del hits[q], found[q]

@@ -46,6 +46,19 @@ def test_query_chunks_change_nothing(spark, monkeypatch, sf):
     assert spark_rows(ann.op5_nearest(spark, sf)) == whole
 
 
+def test_repeated_ids_do_not_end_the_search():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((400, 16))
+    query = rng.standard_normal(16)
+    close = query + 0.01 * rng.standard_normal((10, 16))  # one id, ten times, next to the query
+    ids, vectors = np.concatenate([np.arange(400), np.full(10, 900)]), np.concatenate([vectors, close])
+    ((_, found, scores),) = ann.Block(ids, vectors).search(np.array([-1]), query[None, :])
+    got = ann.best_of(found, scores, 5)[0].tolist()
+    every = (vectors * query).sum(axis=1) / (np.sqrt((vectors * vectors).sum(axis=1)) * np.sqrt((query * query).sum()))
+    want = ann.best_of(ids, every, 5)[0].tolist()
+    assert got[0] == 900 and len(got) == 5 and len(set(got) & set(want)) >= 4
+
+
 def test_edges(spark):
     rows = [
         (0, [1.0, 0.0], 1), (50, [2.0, 0.0], 1), (1, [3.0, 0.0], 1), (2, [1.0, 1.0], 1), (2, [1.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1),
