@@ -11,7 +11,7 @@ The vocabulary is read from a ``tokenizers`` file of a byte-level BPE model; its
 so the same ids come from a rank-based encoder that is several times as fast (tests compare both).
 
 Defined results: a null or empty text is the closing token alone; repeated rows are packed
-as documents of their own; an empty table gives an empty result; extra columns are ignored.
+as documents of their own; a null doc_id stays null and comes last among pieces of one length; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def encoder(path: str | None = None):
 
 def best_fit(items: list[tuple[int, list]], capacity: int = CAPACITY) -> list[tuple[int, list]]:
     """Pack (length, pieces) best-fit, longest first; piece offsets are moved along. Returns (used, pieces) of each bin."""
-    items = sorted(items, key=lambda x: (-x[0], x[1][0][:2] if x[1] else ()))
+    items = sorted(items, key=lambda x: (-x[0], [(p[0] is None, p[0] or 0, p[1]) for p in x[1][:1]]))
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by free places
     mask, used, content = 0, [], []
     for length, pieces in items:

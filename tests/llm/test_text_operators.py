@@ -239,6 +239,15 @@ def test_packing_edges(spark):
     assert len(twice) == 2
 
 
+def test_packing_null_ids_of_tied_length(spark):
+    docs = spark.createDataFrame([(None, "same words"), (4, "same words"), (None, "same words"), (2, "same words"), (None, "word " * 5000)], "doc_id long, text string").coalesce(1)
+    rows = packing.packed(docs).collect()
+    short = [r for r in rows if r.length < 100]
+    assert sorted(str(r.doc_id) for r in short) == ["2", "4", "None", "None"] and len({r.length for r in short}) == 1
+    assert sum(r.length for r in rows) == 4 * short[0].length + len(packing.encoder().encode("word " * 5000)) + 1
+    assert [r.doc_id for r in sorted(short, key=lambda r: (r.sequence_id, r.offset))][:2] == [2, 4]
+
+
 def test_best_fit_is_close_to_the_bound():
     sizes = np.random.default_rng(3).integers(1, 1024, 5000)
     bins = packing.best_fit([(int(s), [(i, 0, 0, int(s), 0, 0)]) for i, s in enumerate(sizes)])
