@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the one that the cluster shares (``spark.checkpoint.dir``).
+
+    Where that setting is absent, a session of this machine alone (a ``local`` master, as in tests) takes a folder of its
+    own; on a cluster it is an error, since executors would write to their own disks.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage: a table in the folder that the cluster shares (one of this machine only where none is set)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut lineage: a table in the shared folder, whose files outlive executors."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.mode("errorifexists").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove tables that ``kept`` wrote. Only for those that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def orders_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
