@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.sources.tables import kept, released  # noqa: F401
+
 #: White space that separates words, as a character class of Java and Python regular expressions.
 SPACE = r"\x20\x09-\x0D"
 
@@ -22,24 +23,20 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster shares (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in local tests, a folder of this machine is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/pointloom-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return kept(df)
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that no column of the table has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

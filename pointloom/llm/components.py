@@ -1,36 +1,5 @@
-"""Connected components of an edge table by repeated contraction."""
+"""Connected components of an edge table: those of the graph operators."""
 
-from __future__ import annotations
+from pointloom.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from pointloom.llm.common import stored
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b: long); component is the smallest node reached.
-
-    Each round every node hooks onto the neighbour (or itself) with the smallest digest of that
-    round, and edges move to the hooks: a constant share of the nodes goes each round, whatever the
-    shape of the graph. Rounds are kept as tables, and labels are carried back through them.
-    """
-    spark = edges.sparkSession
-    levels, now = [], stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    while not now.isEmpty():
-        digest = F.xxhash64("w", F.lit(len(levels)))
-        both = now.select(F.col("a").alias("node"), F.col("b").alias("w")).unionAll(now.select(F.col("b").alias("node"), F.col("a").alias("w")))
-        best = both.groupBy("node").agg(F.min(F.struct(digest.alias("h"), "w")).alias("m"))
-        own = F.xxhash64("node", F.lit(len(levels)))
-        hooks = stored(best.select("node", F.when(own <= F.col("m.h"), F.col("node")).otherwise(F.col("m.w")).alias("to")))
-        levels.append(hooks)
-        moved = now.join(hooks.withColumnsRenamed({"node": "a", "to": "ta"}), "a").join(hooks.withColumnsRenamed({"node": "b", "to": "tb"}), "b")
-        now = stored(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
-    if not levels:
-        return spark.createDataFrame([], "node long, component long")
-    labels = levels.pop()
-    while levels:
-        upper = labels.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        labels = stored(levels.pop().join(upper, "to", "left").select("node", F.coalesce("top", "to").alias("to")))
-    names = labels.groupBy("to").agg(F.min("node").alias("component"))
-    return labels.join(names, "to").select("node", "component")
+__all__ = ["connected_components"]

@@ -10,18 +10,21 @@ least ``PERCENT`` per cent are linked. The steps, each over all documents:
 3. Prefix entries meet by shingle; a list is walked in order of set size, and neighbours whose sizes rule out
    a link start a new block, so lists skip by block. Blocks of documents and buckets pass on
    one entry for each block with its size range and a spanning forest, never pairs: a shingle that a third of all
-   documents hold costs a row for each block of documents. Components of these candidate edges are closed
-   worlds: each link lies inside one. Sets of one component meet in one task, or, in a large component, in one
-   task for each pair of blocks of at most ``BLOCK`` sets.
+   documents hold costs a row for each block of documents, in its count (step 2) as in its list. Components of these
+   candidate edges are closed worlds: each link lies inside one. Small worlds share tasks of about ``TASK_SHINGLES``.
+   A large one is first compared with a few pivots, in parts of bounded size: sets drawn by digest, then the sets that
+   lie closest to those. Sets linked through pivots are one body, whose members need no comparison with each other; only
+   the rest, usually few, meet each other and the body, a block of at most ``BLOCK`` sets with another in a task of its own.
 4. Within a task, sets are joined in order of size through an index of prefixes with exact frequencies. A
    pair already connected is skipped. An answer is derived from that of a similar set where possible: with
    o = |y & r| known and x like r, |y & x| lies between o - |r - x| and o + |x - r|, which often settles the pair unseen.
 5. Components of the links, carried to all documents through the digests.
 
-Shingles are 64-bit hashes of their words. Defined results: null text and text without words have an empty
+Shingles are 64-bit hashes of their words (sets by their 128-bit digests): the result is exact unless two hashes
+collide. Defined results: null text and text without words have an empty
 set and are linked with nothing; a null doc_id counts as larger than all others; sets are told apart by their digests, so
 documents with null or repeated ids are linked by their texts alone; repeated rows are returned as often as they
-come; empty tables give empty results; extra columns are ignored.
+come; empty tables give empty results; texts may be of any length; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, ship, shuffle_partitions, stored, table
+from pointloom.llm.common import SPACE, released, ship, shuffle_partitions, spare, stored, table
 from pointloom.llm.components import connected_components
 
 N = 5
@@ -46,8 +49,12 @@ N = 5
 PERCENT = 75
 #: Shingles and documents in a block of documents, and shingles in a bucket: what a task holds at a time.
 BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_SHINGLES = 2_000_000, 60_000, 4_000_000
-#: Sets per block of a large candidate component.
-BLOCK = 2000
+#: Occurrences in a block of documents from which a shingle is sent on as a count.
+FOLD = 16
+#: Sets and shingles per block of a large candidate component; shingles that small components share a task at.
+BLOCK, BLOCK_SUM, TASK_SHINGLES = 512, 2_000_000, 1_000_000
+#: Pivots of a large component in each of the two rounds.
+PIVOTS = 8
 #: Size of the filter that spares most texts the last reading.
 FILTER_BYTES = 1 << 20
 _NULL_ID = (1 << 63) - 1
@@ -174,7 +181,8 @@ _ROW_NAMES = ["key", "block", "kind", "a", "b", "c"]
 
 
 def _shingles_by_bucket(buckets: int):
-    """Blocks of documents: their shingles by bucket (kind 0: 32 bits of each, place of its document), and their digests and sizes (kind 1)."""
+    """Blocks of documents: their shingles by bucket (kind 0: 32 bits of each, place of its document; kind 2: those found
+    more than ``FOLD`` times, and how often), and their digests, sizes and places of the shingles of kind 2 (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = iter(range(TaskContext.get().partitionId() << 32, (TaskContext.get().partitionId() + 1) << 32))
@@ -185,12 +193,17 @@ def _shingles_by_bucket(buckets: int):
             tokens = np.concatenate(sets)
             place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            low = tokens.astype(np.uint32)[order]
-            place = place[order]
-            rows = [(k, name, 0, low[x:y].tobytes(), place[x:y].tobytes(), None) for k, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
-            rows.append((name % buckets, name, 1, np.array([d[0] for d in held], np.int64).tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), None))
+            order = np.lexsort((tokens.astype(np.uint32), bucket))
+            tokens, place, bucket = tokens.astype(np.uint32)[order], place[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (bucket[1:] != bucket[:-1])]))
+            times = np.diff(np.append(first, len(tokens)))
+            often = times > FOLD  # a frequent shingle goes to its bucket as a count; its places stay with the block
+            folded = np.repeat(often, times)
+            rows = []
+            for kind, t, p, k in ((0, tokens[~folded], place[~folded], bucket[~folded]), (2, tokens[first[often]], times[often].astype(np.uint32), bucket[first[often]])):
+                ends = np.searchsorted(k, np.arange(buckets + 1))
+                rows += [(j, name, kind, t[x:y].tobytes(), p[x:y].tobytes(), None) for j, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+            rows.append((name % buckets, name, 1, np.array([d[0] for d in held], np.int64).tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), place[folded].tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ROW_NAMES)
 
@@ -213,21 +226,23 @@ def _shingles_by_bucket(buckets: int):
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: back to each block go its shingles that occur twice or more, with their frequency."""
-    out = [(r.block, r.block, 1, r.a, r.b, None) for r in pdf[pdf["kind"] == 1].itertuples()]
-    part = pdf[pdf["kind"] == 0]
+    out = [(-1, r.block, 1, r.a, r.b, r.c) for r in pdf[pdf["kind"] == 1].itertuples()]
+    part = pdf[pdf["kind"] != 1]
     if len(part):
-        tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in part["a"]])
-        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        often = counts[inverse]
-        at, high = 0, np.uint64(int(part["key"].iloc[0]) << 32)
-        for r in part.itertuples():
-            n = len(r.a) // 4
-            f = often[at : at + n]
+        tokens = [np.frombuffer(x, np.uint32) for x in part["a"]]
+        counts = [np.frombuffer(b, np.uint32) if k == 2 else np.ones(len(t), np.uint32) for t, b, k in zip(tokens, part["b"], part["kind"], strict=True)]
+        _, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+        often = np.bincount(inverse, np.concatenate(counts).astype(np.float64)).astype(np.int64)[inverse]
+        bucket = int(part["key"].iloc[0])
+        at, high = 0, np.uint64(bucket << 32)
+        for r, t in zip(part.itertuples(), tokens, strict=True):
+            f = often[at : at + len(t)]
             kept = f > 1
             if kept.any():
-                names = np.frombuffer(r.a, np.uint32)[kept].astype(np.uint64) | high
-                out.append((r.block, r.block, 0, names.tobytes(), np.frombuffer(r.b, np.uint16)[kept].tobytes(), f[kept].astype(np.uint32).tobytes()))
-            at += n
+                names = t[kept].astype(np.uint64) | high
+                places = r.b if r.kind == 2 else np.frombuffer(r.b, np.uint16)[kept].tobytes()
+                out.append((bucket, r.block, r.kind, names.tobytes(), places, f[kept].astype(np.uint32).tobytes()))
+            at += len(t)
     return pd.DataFrame(out, columns=_ROW_NAMES)
 
 
@@ -241,6 +256,11 @@ def _prefixes(buckets: int):
         head, part = pdf[pdf["kind"] == 1].iloc[0], pdf[pdf["kind"] == 0]
         ids, sizes = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int32)
         tokens, place, often = (np.frombuffer(b"".join(part[c]), t) for c, t in (("a", np.uint64), ("b", np.uint16), ("c", np.uint32)))
+        many = pdf[pdf["kind"] == 2].sort_values("key")
+        if len(many):  # buckets in order, so the block's places of these shingles come in order
+            names, times, f = (np.frombuffer(b"".join(many[c]), t) for c, t in (("a", np.uint64), ("b", np.uint32), ("c", np.uint32)))
+            tokens, often = np.concatenate([tokens, np.repeat(names, times)]), np.concatenate([often, np.repeat(f, times)])
+            place = np.concatenate([place, np.frombuffer(head["c"], np.uint16)])
         order = np.lexsort((tokens, often, place))
         tokens, place = tokens[order], place[order].astype(np.int64)
         n = np.bincount(place, minlength=len(ids))
@@ -276,8 +296,11 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], blocks: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all linked sets (a spanning forest of them). ``blocks``: only pairs of unlike blocks are looked at."""
+def links_within(ids: list[int], sets: list[np.ndarray], blocks: list[int] | None = None, bodies: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets (a spanning forest of them). ``blocks``: only pairs of unlike blocks are looked at.
+
+    ``bodies``: sets of one body (not negative) are known to be connected.
+    """
     flat = np.concatenate(sets)
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
@@ -289,6 +312,10 @@ def links_within(ids: list[int], sets: list[np.ndarray], blocks: list[int] | Non
     lists: dict[int, list[int]] = {}
     forest, out, mark = Forest(), [], np.zeros(len(counts), bool)
     lead: list[tuple[int, int] | None] = [None] * len(order)
+    heads: dict[int, int] = {}
+    for y, k in enumerate(order if bodies else ()):
+        if bodies[k] >= 0:
+            forest.union(heads.setdefault(bodies[k], y), y)
     for y, k in enumerate(order):
         r, n = ranks[k], sizes[y]
         prefix = r[: prefix_size(n)]
@@ -326,14 +353,76 @@ def links_within(ids: list[int], sets: list[np.ndarray], blocks: list[int] | Non
     return out
 
 
+def _edges(pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(np.array(pairs, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
 def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links inside each of the small components of one task."""
     out = []
-    for (_, i, j), group in pdf.groupby(["cluster", "i", "j"], sort=False):
-        group = group.drop_duplicates(["d1", "d2"])
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        if len(sets) > 1:
-            out += links_within(group["node"].tolist(), sets, None if i == j else group["block"].tolist())
-    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+    for _, group in pdf.groupby("cluster", sort=False):
+        if len(group) > 1:
+            out += links_within(group["node"].tolist(), [np.frombuffer(x, np.uint64) for x in group["shingles"]])
+    return _edges(out)
+
+
+def _verified_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links inside one block of a large component's rest, or between two blocks."""
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    return _edges(links_within(pdf["node"].tolist(), sets, None if same else pdf["block"].tolist(), pdf["body"].tolist()) if len(sets) > 1 else [])
+
+
+def _against(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Sets of a part of a large component against its pivots: (cluster, node, near: sum of similarities, links)."""
+    out = []
+    heads = [(p, np.frombuffer(x, np.uint64)) for p, x in zip(pivots["pivot"], pivots["head"], strict=True)]
+    for r in members.itertuples():
+        s, near, links = np.frombuffer(r.shingles, np.uint64), 0.0, []
+        for p, h in heads:
+            common = len(np.intersect1d(s, h, assume_unique=True))
+            near += common / (len(s) + len(h) - common)
+            if p != r.node and linked(common, len(s), len(h)):
+                links.append(p)
+        out.append((r.cluster, r.node, near, links))
+    return pd.DataFrame(out, columns=["cluster", "node", "near", "links"])
+
+
+def _large(held: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links of the large components of ``held`` (cluster, blocks, node, shingles), and the tables they read.
+
+    Work is in proportion to the sets, but for the rest that no pivot connects: its blocks meet each other and the body's.
+    """
+    part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    big, near, links = held.where("blocks > 1").withColumn("part", part), None, None
+    used: list[DataFrame] = []
+    for order in (F.xxhash64("node"), F.desc("near")):
+        rows = big if near is None else big.join(near, ["cluster", "node"])
+        first = F.row_number().over(Window.partitionBy("cluster").orderBy(order, "node"))
+        names = rows.select("cluster", "node", "blocks", *(["near"] if near is not None else [])).withColumn("_k", first).where(F.col("_k") <= PIVOTS)
+        pivots = big.select("cluster", "node", "shingles").join(names.select("cluster", "node", "blocks"), ["cluster", "node"])
+        pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pivots = pivots.select(F.col("cluster").alias("home"), F.col("part").alias("place"), F.col("node").alias("pivot"), F.col("shingles").alias("head"))
+        each = big.groupBy("cluster", "part").cogroup(pivots.groupBy("home", "place")).applyInPandas(_against, "cluster long, node long, near double, links array<long>")
+        found = stored(each)
+        used.append(found)
+        near = found.select("cluster", "node", "near")
+        more = found.select("cluster", "node", F.explode("links").alias("pivot"))
+        links = more if links is None else links.unionByName(more)
+    bodies = connected_components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")), loops=False)
+    marked = stored(used[-1].select("cluster", "node").join(bodies.withColumnRenamed("component", "body"), "node", "left"))
+    sizes = marked.where("body IS NOT NULL").groupBy("cluster", "body").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "body")).alias("m")).select("cluster", F.col("m.body").alias("main"))
+    sets = stored(big.join(marked, ["cluster", "node"]).join(main, "cluster", "left").select("cluster", "node", "shingles", F.coalesce("body", F.lit(-1).cast("long")).alias("body"), F.coalesce(F.col("body") == F.col("main"), F.lit(False)).alias("inside"), "n"))
+    count = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(c, F.col("n")).otherwise(0)) / BLOCK_SUM)).cast("int")
+    shape = sets.groupBy("cluster").agg(count(~F.col("inside")).alias("rest"), count(F.col("inside")).alias("core"))
+    rows = sets.join(shape, "cluster").where("rest > 0")
+    own = F.when(F.col("inside"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("core"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("core") - 1))
+    spread = rows.withColumn("block", own).withColumn("other", F.explode(others))
+    spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "body", "shingles")
+    pairs = spread.groupBy("cluster", "i", "j").applyInPandas(_verified_blocks, "a long, b long")
+    return pairs.unionByName(links.select(F.col("node").alias("a"), F.col("pivot").alias("b"))), [*used, marked, sets]
 
 
 def _sets(bits: np.ndarray):
@@ -365,45 +454,56 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
 
 
-def _print() -> Column:
-    """Fingerprint of the whole text."""
-    return F.md5(F.col("text").cast("string").cast("binary"))
+def _print(docs: DataFrame) -> Column:
+    """Fingerprint of a whole row: its text, then its other columns (those that can be hashed)."""
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.concat(F.md5(F.col("text").cast("string").cast("binary")), F.xxhash64(*others).cast("string"))
 
 
-def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
     """Facts of each row (doc_id, print, d1, d2, n), and the component of each set that is not empty (d1, d2, rep, print, component).
 
     ``rep`` and ``print`` are the smallest row of the set. A set is a node of its own, whatever ids its documents have.
     """
     spark = docs.sparkSession
-    rows = docs.select(_key().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = stored(rows.select("doc_id", "text", _print().alias("print")).mapInArrow(_facts, "doc_id long, print string, d1 long, d2 long, n long"))
-    least = info.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "print")).alias("m"))
-    reps = stored(least.select("d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.print").alias("print"), F.monotonically_increasing_id().alias("node")))
+    marked = docs.select(_key().alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("print"))
+    rows = marked.select("doc_id", "text")
+    info = stored(marked.mapInArrow(_facts, "doc_id long, print string, d1 long, d2 long, n long"))
+    least = info.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "print")).alias("m"), F.max("n").alias("n"))
+    reps = stored(least.select("d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.print").alias("print"), "n", F.monotonically_increasing_id().alias("node")))
     buckets = max(shuffle_partitions(spark), -(-(info.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES))
     tokens = rows.select("text").mapInArrow(_shingles_by_bucket(buckets), _ROWS)
     shared = tokens.repartition(buckets, "key").groupBy("key").applyInPandas(_shared, _ROWS)
     entries = shared.groupBy("block").applyInPandas(_prefixes(buckets), _ENTRIES)
     edges = stored(entries.groupBy("bucket").applyInPandas(_candidates, "a long, b long"))
-    clusters = connected_components(edges)
-
-    members = stored(reps.join(clusters.withColumnsRenamed({"node": "d1", "component": "cluster"}), "d1").select("d1", "d2", "rep", "node", "cluster"))
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    tasks = members.join(sizes, "cluster").select("d1", "d2", "rep", "node", "cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    sets = rows.mapInArrow(_sets(_filter_of(members)), "rep long, d1 long, d2 long, shingles binary").join(tasks, ["d1", "d2", "rep"])
-    block = F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")
-    spread = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "d2", "node", "shingles")
-    task = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(4 * buckets)).cast("int")
-    links = stored(spread.withColumn("task", task).groupBy("task").applyInPandas(_verified, "a long, b long"))
-    found = connected_components(links)
-
+    clusters = connected_components(edges, loops=False)
+
+    members = stored(reps.join(clusters.withColumnsRenamed({"node": "d1", "component": "cluster"}), "d1").select("d1", "d2", "rep", "node", "n", "cluster"))
+    released(edges)
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SUM)).cast("int").alias("blocks")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), blocks).where("size > 1").drop("size")
+    asked = members.join(sizes, "cluster").select("d1", "d2", "rep", "node", "n", "cluster", "blocks")
+    sets = rows.mapInArrow(_sets(_filter_of(members)), "rep long, d1 long, d2 long, shingles binary").join(asked, ["d1", "d2", "rep"])
+    # Repeated rows bring their set again; the join has dealt them by the same columns.
+    once = sets.groupBy("d1", "d2", "rep").agg(*[F.first(c).alias(c) for c in ("node", "n", "cluster", "blocks", "shingles")])
+    held = stored(once.select("node", "n", "cluster", "blocks", "shingles"))
+    shape = held.agg(F.sum("n"), F.count_if(F.col("blocks") > 1)).first()
+    tasks = max(shuffle_partitions(spark), -(-(shape[0] or 0) // TASK_SHINGLES))
+    task = F.pmod(F.xxhash64("cluster"), F.lit(tasks)).cast("int")
+    small = held.where("blocks = 1").select(task.alias("task"), "cluster", "node", "shingles")
+    links, used = small.groupBy("task").applyInPandas(_verified, "a long, b long"), []
+    if shape[1]:
+        more, used = _large(held)
+        links = links.unionByName(more)
+    links = stored(links)
+    found = connected_components(links, loops=False)
+    released(links, held, members, *used)
     return info, reps.join(found, "node", "left").select("d1", "d2", "rep", "print", F.coalesce("component", "node").alias("component"))
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
-    info, sets = _components(docs)
+    info, sets = _components(docs, F.lit(""))
     names = sets.join(sets.groupBy("component").agg(F.min("rep").alias("name")), "component").select("d1", "d2", "name")
     out = info.join(names, ["d1", "d2"], "left")
 
@@ -414,18 +514,19 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: smallest doc_id, then smallest fingerprint of the text; same columns.
+    """One row of ``docs`` for each component: smallest doc_id, then smallest fingerprint of the row; same columns.
 
-    Texts without words are linked with nothing, so all their rows stay. The other texts are shuffled once: the semi-join
+    So which row stays does not depend on how rows are dealt, unless rows are alike in every column. Texts without words
+    are linked with nothing, so all their rows stay. The other texts are shuffled once: the semi-join
     and the removal of repeated rows share one key.
     """
-    _, sets = _components(docs)
+    mark, names = _print(docs), spare(docs.columns, "_key", "_print")
+    _, sets = _components(docs, mark)
     heads = sets.groupBy("component").agg(F.min(F.struct("rep", "print")).alias("m"))
-    heads = stored(heads.select(F.col("m.rep").alias("_pointloom_key"), F.col("m.print").alias("_pointloom_print")))
-    keys = ["_pointloom_key", "_pointloom_print"]
+    heads = stored(heads.select(F.col("m.rep").alias(names[0]), F.col("m.print").alias(names[1])))
     worded = F.coalesce(F.col("text").cast("string").rlike(f"[^{SPACE}]"), F.lit(False))
-    kept = docs.where(worded).withColumns(dict(zip(keys, (_key(), _print()), strict=True))).join(heads, keys, "left_semi")
-    return kept.dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where(~worded))
+    kept = docs.where(worded).withColumns(dict(zip(names, (_key(), mark), strict=True))).join(heads, names, "left_semi")
+    return kept.dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where(~worded))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,5 +545,4 @@ m AS (SELECT x AS doc_id, min(k) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ship("pointloom.llm.components")
 ship(__name__)
