@@ -8,15 +8,21 @@ written to the shared folder, so a lost executor repeats one round's task only.
 ``TASK_ITEMS`` items, whatever the corpus.
 
 The vocabulary is read from a ``tokenizers`` file of a byte-level BPE model; its ids are merge ranks,
-so the same ids come from a rank-based encoder that is several times as fast (tests compare both).
+so the same ids come from a rank-based encoder that is several times as fast (tests compare both). Words that the file adds, such as
+its end-of-text mark, are found first, as the tokenizer does. Texts with very long runs of white space, which the fast
+encoder's pattern refuses, go to the tokenizer itself.
 
-Defined results: a null or empty text is the closing token alone; repeated rows are packed
+Rounds go on while they pay: once tasks hold ``SETTLED`` items each and emit less than a tenth of them, merging more
+cannot help (items of unlucky lengths never fill a sequence), and the next round keeps what it has.
+
+Defined results: a null or empty text is the closing token alone; texts may be of any length; repeated rows are packed
 as documents of their own; a null doc_id stays null and comes last among pieces of one length; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,8 +41,10 @@ TOKENIZER = "byte_bpe_50k.json"
 NEARLY = 1
 FAN = 8
 TASK_ITEMS = 200_000
-#: The round that keeps underfull sequences even if several tasks are left.
-LAST_ROUND = 12
+#: Items in a task from which a round that emits less than a tenth shows that more rounds will not help.
+SETTLED = 10_000
+#: A run of white space from here on is left to the tokenizer itself.
+LONG_RUN = 5_000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _SCHEMA = pa.schema([("sequence_id", pa.int64()), ("used", pa.int32()), ("full", pa.bool_()), ("pieces", pa.list_(_PIECE))])
@@ -53,9 +61,28 @@ def encoder(path: str | None = None):
     # Byte-level BPE writes the 188 visible Latin-1 characters as themselves, the other bytes from U+0100 on.
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(seen))}
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens that change the text around them are not supported")
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+class Tokens:
+    """Ids of whole texts, as the tokenizer gives them without its own additions at the ends."""
+
+    def __init__(self, path: str | None = None):
+        self.path, self.fast, self.slow, self.long_run = path, encoder(path), None, re.compile(r"\s{%d}" % LONG_RUN)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.long_run.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        if self.slow is None:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path or public_tokenizers.path(TOKENIZER))
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def best_fit(items: list[tuple[int, list]], capacity: int = CAPACITY) -> list[tuple[int, list]]:
@@ -115,7 +142,7 @@ def pieces_of(doc_id: int, ids: np.ndarray, capacity: int = CAPACITY) -> list[tu
 
 def _first_round(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number, items = encoder(path), _numbers(0), []
+        encode, number, items = Tokens(path), _numbers(0), []
 
         def packed():
             bins = list(_sorted_out(best_fit(items), number, False))
@@ -126,7 +153,7 @@ def _first_round(path: str | None):
         for batch in batches:
             whole = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32), np.uint32(END_ID))
+                ids = np.append(encode(text) if text else np.zeros(0, np.uint32), np.uint32(END_ID))
                 for p in pieces_of(doc_id, ids):
                     if p[3] == CAPACITY:
                         whole.append((next(number), CAPACITY, True, [p]))
@@ -155,17 +182,24 @@ def _next_round(round_: int, last: bool):
     return run
 
 
+def _left(rows: DataFrame) -> tuple[int, int]:
+    """(underfull items, pieces in all) of a round."""
+    r = rows.agg(F.count_if(~F.col("full")), F.sum(F.size("pieces"))).first()
+    return r[0], r[1] or 0
+
+
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = stored(docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(_first_round(path), _DDL))
-    done, rest = rows.where("full"), rows.where("NOT full")
-    tasks, left, round_ = max(1, rest.rdd.getNumPartitions()), rest.count(), 0
+    done, rest, round_ = rows.where("full"), rows.where("NOT full"), 0
+    tasks, (left, before) = max(1, rest.rdd.getNumPartitions()), _left(rows)
     while left:
-        round_, tasks = round_ + 1, max(1, -(-left // TASK_ITEMS), -(-tasks // FAN))
-        last = tasks == 1 or round_ == LAST_ROUND
+        settled = before >= SETTLED * tasks and left > 0.9 * before
+        round_, tasks, before = round_ + 1, max(1, -(-left // TASK_ITEMS), -(-tasks // FAN)), left
+        last = tasks == 1 or settled
         rows = stored(rest.coalesce(tasks).mapInArrow(_next_round(round_, last), _DDL))
         done, rest = done.unionByName(rows.where("full")), rows.where("NOT full")
-        left = 0 if last else rest.count()
+        left = 0 if last else _left(rows)[0]
     return done.select("sequence_id", F.explode("pieces").alias("p")).select("p.doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32", "sequence_id", "p.offset")
 
 
