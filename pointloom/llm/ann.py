@@ -6,11 +6,15 @@ around its own projection in every array; windows grow in steps of ``GROWTH`` (v
 same arrays serve every radius), and vectors that fall into more than ``COLLISIONS`` of the windows
 are verified with the exact cosine. At half-width r a vector at distance r falls into a window with
 probability 0.683, so nearly all vectors within r pass the threshold; a query stops once its k-th best
-verified distance is at most r, or when its windows hold everything.
+verified distance is at most r, or when its windows hold everything. What a query has found in earlier blocks
+of a task bounds its radius in the later ones: a later block is read once, at the distance of its k-th best so far.
 
 Every row is indexed where it lies: blocks are local to a partition, and nothing about data rows is
 collected. Queries come to the blocks in chunks of at most ``QUERY_CHUNK`` vectors, whatever their number.
 
+Each vector is scaled by a power of two, which is exact, before anything is squared: components of any
+finite size neither overflow nor vanish, and the cosine is that of the original vectors.
+
 Defined results: null vectors, zero vectors and vectors with null or non-finite components take no part;
 vectors of unlike length are never compared; rows with the query's vec_id are its own; a vec_id that
 repeats counts once, with its best score; equal scores go to the smaller vec_id; empty tables give empty results.
@@ -40,8 +44,13 @@ QUERY_GROUP = 256
 SEED = 20240501
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component into [0.5, 1)."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 class Block:
-    """The sorted arrays of one block of vectors."""
+    """The sorted arrays of one block of vectors (scaled ones)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS):
         self.ids, self.vectors = ids, vectors
@@ -55,15 +64,21 @@ class Block:
         # Sums run along each row alike, so equal vectors get equal scores.
         return (self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * np.sqrt((query * query).sum()))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int = NEIGHBOURS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(place of the query, ids, cosines) of the verified vectors that may be among its k nearest."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int = NEIGHBOURS, bounds: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the query, ids, cosines) of the verified vectors that may be among its k nearest.
+
+        ``bounds``: the cosine of each query's k-th best so far, -inf without one. Vectors below it need not be found.
+        """
+        bounds = np.full(len(queries), -np.inf) if bounds is None else bounds
         n, m = len(self.ids), len(self.values)
         centres = ((queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ self.directions).T
         low = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, centres, strict=True)])
         high = low.copy()
         hits = {q: np.zeros(n, np.int64) for q in range(len(queries))}
         found = {q: ([], [], np.zeros(n, bool)) for q in hits}
-        radius = FIRST_RADIUS
+        # The distance beyond which nothing is needed; a query with one starts and ends there.
+        need = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(bounds, -1)))
+        radius = np.where(np.isfinite(bounds), np.maximum(need, 1e-9), FIRST_RADIUS)
         while hits:
             below = np.stack([np.searchsorted(v, c - radius) for v, c in zip(self.values, centres, strict=True)])
             above = np.stack([np.searchsorted(v, c + radius) for v, c in zip(self.values, centres, strict=True)])
@@ -71,21 +86,22 @@ class Block:
                 new = [x for o, a, b, c, d in zip(self.order, below[:, q].tolist(), low[:, q].tolist(), high[:, q].tolist(), above[:, q].tolist(), strict=True) for x in (o[a:b], o[c:d])]
                 hits[q] += np.bincount(np.concatenate(new), minlength=n)
                 rows, scores, done = found[q]
-                over = bool((above[:, q] - below[:, q]).min() == n)
-                fresh = np.flatnonzero(~done if over else (hits[q] > COLLISIONS * m) & ~done)
+                whole = bool((above[:, q] - below[:, q]).min() == n)
+                fresh = np.flatnonzero(~done if whole else (hits[q] > COLLISIONS * m) & ~done)
                 done[fresh] = True
                 fresh = fresh[self.ids[fresh] != query_ids[q]]
                 if len(fresh):
                     rows.append(fresh)
                     scores.append(self.cosines(queries[q], fresh))
+                over = whole or radius[q] >= need[q]
                 if sum(map(len, scores)) >= k and not over:
                     top = best_of(self.ids[np.concatenate(rows)], np.concatenate(scores), k)[1]  # a repeated id counts once
-                    over = len(top) == k and 2 - 2 * top[-1] <= radius * radius
+                    over = len(top) == k and 2 - 2 * top[-1] <= radius[q] * radius[q]
                 if over:
                     yield q, self.ids[np.concatenate(rows)] if rows else self.ids[:0], np.concatenate(scores) if rows else np.zeros(0)
                     del hits[q], found[q]
             low, high = below, above
-            radius *= GROWTH
+            radius = radius * GROWTH
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +120,14 @@ def _searching(queries: list[tuple[int, np.ndarray]], k: int):
 
         def search(size: int):
             ids = np.array([i for i, _ in held[size]], np.int64)
-            block = Block(ids, np.array([v for _, v in held[size]], np.float64))
+            block = Block(ids, scaled(np.array([v for _, v in held[size]], np.float64)))
             held[size] = []
             same = [n for n, (_, v) in enumerate(queries) if len(v) == size]
             for start in range(0, len(same), QUERY_GROUP):
                 numbers = same[start : start + QUERY_GROUP]
-                query_ids, matrix = np.array([queries[n][0] for n in numbers], np.int64), np.array([queries[n][1] for n in numbers])
-                for q, ids, scores in block.search(query_ids, matrix, k):
+                query_ids, matrix = np.array([queries[n][0] for n in numbers], np.int64), scaled(np.array([queries[n][1] for n in numbers]))
+                bounds = np.array([best[n][1][-1] if n in best and len(best[n][1]) == k else -np.inf for n in numbers])
+                for q, ids, scores in block.search(query_ids, matrix, k, bounds):
                     if numbers[q] in best:
                         ids, scores = np.concatenate([best[numbers[q]][0], ids]), np.concatenate([best[numbers[q]][1], scores])
                     best[numbers[q]] = best_of(ids, scores, k)
