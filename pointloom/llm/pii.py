@@ -15,7 +15,8 @@ never share one:
   within lower-case letters, capitals, digits, or hexadecimal digits if there is nothing else.
 
 Whatever fails its validation stays as it is. Each row is rewritten on its own: no shuffle, no join.
-Defined results: a null text stays null with nothing found; other columns pass through untouched.
+Defined results: a null text stays null with nothing found; repeated rows give repeated results; an empty table gives
+an empty result; texts and secrets may be of any length; other columns, of whatever name, pass through untouched.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import table
+from pointloom.llm.common import spare, table
 
-#: For tests and the registered query only; a deployment passes its own secret.
+#: What ``key_of`` falls back to: links values, but hides them from nobody who has this file. A deployment sets its own.
 DEMO_KEY = "2f8e1c57a90b4d63"
 #: Rounds of each Feistel network.
 ROUNDS = 10
@@ -37,7 +38,8 @@ PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{3,4}){1,2}(?![\p{L}\
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 IPV4 = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 DATE = r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\p{L}\p{N}/-]|\.\d)"
-MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A domain has at most 127 labels of at most 63 characters: bounded repeats, so no text can exhaust the regex stack.
+MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}"
 SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_.-]{8,}"""
 ANY = "|".join([SECRET, MAIL, DATE, SSN, IPV4, PHONE, CARD])
 #: A text without any of these holds nothing of the above: each number but an address of single digits has two digits side by side.
@@ -53,25 +55,34 @@ def _hash(key: str, *parts: str) -> str:
 
 
 def _by_char(x: str, key: str, kind: str) -> str:
-    """SQL for a Feistel network over the halves of string ``x``: each character moves within its class."""
+    """SQL for a Feistel network over the halves of string ``x``: each character moves within its class.
+
+    Halves are arrays of characters. A round takes one digest of the other half and one of that for each
+    twelve characters, so the work grows with the length of ``x``, whatever it is.
+    """
     hexa = f"({x} rlike '^[0-9a-f]+$' AND {x} rlike '[a-f]')"
 
-    def moved(half: str, other: str) -> str:
-        c, by = f"substr({half}, j, 1)", f"cast(conv(substr({_hash(key, repr(kind), 's.i', other, 'cast((j - 1) div 12 AS string)')}, 1 + 5 * ((j - 1) % 12), 5), 16, 10) AS int)"
+    def within(alphabet: str) -> str:
+        n = len(alphabet)
+        return f"substr('{alphabet}', 1 + (instr('{alphabet}', c) - 1 + y) % {n}, 1)"
+
+    one = (
+        f"CASE WHEN s.h AND c rlike '[0-9a-f]' THEN {within('0123456789abcdef')} WHEN c rlike '[0-9]' THEN {within('0123456789')} "
+        f"WHEN c rlike '[a-z]' THEN {within('abcdefghijklmnopqrstuvwxyz')} WHEN c rlike '[A-Z]' THEN {within('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} ELSE c END"
+    )
 
-        def within(alphabet: str) -> str:
-            n = len(alphabet)
-            return f"substr('{alphabet}', 1 + (instr('{alphabet}', {c}) - 1 + {by}) % {n}, 1)"
+    def moved(half: str, other: str) -> str:
+        twelve = f"transform(slice({half}, 12 * j + 1, 12), (c, q) -> {_let('y', 'cast(conv(substr(e, 1 + 5 * q, 5), 16, 10) AS int)', one)})"
+        parts = f"flatten(transform(sequence(0, (size({half}) - 1) div 12), j -> {_let('e', 'sha2(concat(o, j), 256)', twelve)}))"
+        whole = f"array_join({other}, '')"
+        return f"CASE WHEN size({half}) = 0 THEN {half} ELSE {_let('o', _hash(key, repr(kind), 's.i', whole), parts)} END"
 
-        one = (
-            f"CASE WHEN s.h AND {c} rlike '[0-9a-f]' THEN {within('0123456789abcdef')} WHEN {c} rlike '[0-9]' THEN {within('0123456789')} "
-            f"WHEN {c} rlike '[a-z]' THEN {within('abcdefghijklmnopqrstuvwxyz')} WHEN {c} rlike '[A-Z]' THEN {within('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} ELSE {c} END"
-        )
-        return f"CASE WHEN {half} = '' THEN '' ELSE array_join(transform(sequence(1, length({half})), j -> {one}), '') END"
+    def chars(part: str) -> str:
+        return f"filter(split({part}, ''), c -> c <> '')"
 
-    start = f"named_struct('l', substr({x}, 1, length({x}) div 2), 'r', substr({x}, 1 + length({x}) div 2), 'i', 1, 'h', {hexa})"
+    start = f"named_struct('l', {chars(f'substr({x}, 1, length({x}) div 2)')}, 'r', {chars(f'substr({x}, 1 + length({x}) div 2)')}, 'i', 1, 'h', {hexa})"
     step = f"CASE WHEN s.i % 2 = 1 THEN named_struct('l', {moved('s.l', 's.r')}, 'r', s.r, 'i', s.i + 1, 'h', s.h) ELSE named_struct('l', s.l, 'r', {moved('s.r', 's.l')}, 'i', s.i + 1, 'h', s.h) END"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, k) -> {step}, s -> concat(s.l, s.r))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, k) -> {step}, s -> concat(array_join(s.l, ''), array_join(s.r, '')))"
 
 
 def _by_number(v: str, a: int, b: int, key: str, kind: str) -> str:
@@ -139,30 +150,39 @@ def _pseudonym(key: str) -> str:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``pii``: the (value as found, pseudonym) pairs that differ."""
-    t = F.col(text)
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", into: str = "pii") -> DataFrame:
+    """``docs`` with ``text`` rewritten and ``into``: the (value as found, pseudonym) pairs that differ.
+
+    A column that has the name ``into`` already is replaced by it.
+    """
+    found_, new_ = spare([*docs.columns, into], "_found", "_new")
+    t, quoted = F.col(text).cast("string"), f"`{new_}`"
     may = F.coalesce(t.rlike(GATE), F.lit(False))
     found = F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("_new", F.expr(f"transform(_found, m -> {_pseudonym(key)})"))
+    rows = docs.withColumn(found_, found)
+    rows = rows.withColumn(new_, F.expr(f"transform(`{found_}`, m -> {_pseudonym(key)})"))
     between = F.split(t, ANY, -1)
-    spliced = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_found")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    rows = rows.withColumn(text, F.when(F.size("_found") > 0, spliced).otherwise(t))
-    pairs = F.arrays_zip(F.col("_found").alias("value"), F.col("_new").alias("pseudonym"))
-    return rows.withColumn("pii", F.filter(pairs, lambda p: p["value"] != p["pseudonym"])).drop("_found", "_new")
+    spliced = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found_)), F.col(quoted), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+    rows = rows.withColumn(text, F.when(F.size(found_) > 0, spliced).otherwise(t))
+    pairs = F.arrays_zip(F.col(found_).alias("value"), F.col(new_).alias("pseudonym"))
+    return rows.withColumn(into, F.filter(pairs, lambda p: p["value"] != p["pseudonym"])).drop(found_, new_)
 
 
-def without_pii(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms, the same columns; ``n_chars``, where there is one, follows the text."""
     own = list(docs.columns)
-    out = pseudonymised(docs, key).drop("pii") if "pii" not in own else pseudonymised(docs.withColumnRenamed("pii", "_pii"), key).drop("pii").withColumnRenamed("_pii", "pii")
+    out = pseudonymised(docs, key, into=spare(own, "_pii")[0])
     if "n_chars" in own:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in own])
 
 
+def key_of(spark: SparkSession) -> str:
+    """The secret of this deployment: the session's ``spark.pointloom.pii.key``; without it, the public demonstration key."""
+    return spark.conf.get("spark.pointloom.pii.key", DEMO_KEY)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
     return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"))
 
