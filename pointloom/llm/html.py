@@ -11,8 +11,9 @@ side bars, adverts, forms, comments, footers around and within an article in one
 random words, so that labels are known and no page of the data is needed. Training takes seconds
 and always gives the same weights.
 
-Defined results: null html is empty and gives empty text; markup that never closes is read to its end;
-repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
+Defined results: null html is empty and gives empty text; a comment, script or declaration that never closes reaches to the
+page's end, a tag to the next one; pages and nesting may be of any length and depth, in linear work; a block that scores exactly
+one half is left out; repeated rows give repeated results; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import functools
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ PATH_PLACES, WORD_PLACES, FIGURES, HIDDEN = 96, 48, 8, 20
 WIDTH = PATH_PLACES + WORD_PLACES + FIGURES
 TRAIN_PAGES, EPOCHS, BATCH = 800, 8, 32
 SEED = 7
+#: Pages of more blocks than this are read in parts.
+LONG_PAGE = 4096
 
 #: Elements that break a line of text (HTML living standard, rendering section), fixed values.
 BLOCK_TAGS = set(
@@ -45,37 +49,64 @@ HIDDEN_TAGS = set("head script style template noscript svg math iframe object se
 CLOSES = {t: {"p"} for t in BLOCK_TAGS - {"body", "html"}} | {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
 #: Closing by a start tag never reaches beyond these.
 SCOPES = set("article aside body div footer form header html main nav ol section table td th ul".split())
+_STOPS = SCOPES.union(*CLOSES.values())
 
+_KNOWN = BLOCK_TAGS | VOID_TAGS | HIDDEN_TAGS | set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label map mark meter nobr output picture progress q ruby rp rt s samp slot small span strike strong sub sup time tt u var".split())
+# A tag ends at the first > outside quoted values, or before the next <, or with the page; so whatever is read is
+# consumed, and reading is linear in any page. A quote that never closes is a character like others.
+_REST = r"""(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+"""
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|iframe|noscript)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"""<!--(?:.*?-->|.*)|<(?P<raw>script|style|textarea|title|iframe|noscript)(?![a-z0-9:-]){_REST}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>{_REST})(?P<close>>?)""",
     re.I | re.S,
 )
+_LONG_REFERENCE = re.compile(r"&#0*([0-9]{0,7})([0-9]*);?")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
 class Leaf:
-    __slots__ = ("links", "path", "text")
+    """A block of text: its path as a set of hashed places (bits) and a depth, share of link text."""
 
-    def __init__(self, path, text, links):
-        self.path, self.text, self.links = path, text, links
+    __slots__ = ("depth", "links", "path", "text")
+
+    def __init__(self, path: int, depth: int, text: str, links: float):
+        self.path, self.depth, self.text, self.links = path, depth, text, links
+
+
+def _bit(kind: str, word: str) -> int:
+    return 1 << _place(kind, word, PATH_PLACES)
+
+
+def _reference(m: re.Match) -> str:
+    # Numbers beyond seven digits are no characters, and Python refuses to read very long ones.
+    return "\ufffd" if m[2] else f"&#{m[1]};" if m[1] else m[0]
+
+
+def _decoded(text: str) -> str:
+    return entities.unescape(_LONG_REFERENCE.sub(_reference, text) if "&#" in text else text)
 
 
 def leaves(page: str | None) -> list[Leaf]:
-    """Leaf blocks in page order: path of (tag, names), text with references decoded and white space made one space, share of link text."""
+    """Leaf blocks in page order: path, text with references decoded and white space made one space, share of link text.
+
+    Each open element holds the places of its whole path, so a leaf costs the same at any depth.
+    """
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    #: tag, places of the path that ends here, places if this is the innermost element, index of the nearest
+    #: element here or below that may be closed by a start tag or stops that.
+    stack: list[tuple[str, int, int, int]] = []
+    open_of: Counter[str] = Counter()
     parts: list[str] = []
-    linked, hidden = 0, 0
+    linked = hidden = 0
+    bodies = False
     text = page or ""
 
     def flush():
         nonlocal linked
         if parts:
-            joined = " ".join(entities.unescape("".join(parts)).split())
+            joined = " ".join(_decoded("".join(parts)).split())
             if joined:
-                path = [(t, n) for t, n in stack]
-                out.append(Leaf(path, joined, min(1.0, linked / max(1, len(joined)))))
+                out.append(Leaf(stack[-1][2] if stack else 0, len(stack), joined, min(1.0, linked / max(1, len(joined)))))
             parts.clear()
         linked = 0
 
@@ -83,9 +114,16 @@ def leaves(page: str | None) -> list[Leaf]:
         nonlocal linked
         if piece and not hidden:
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if open_of["a"]:
                 linked += len(piece)
 
+    def close(k: int):
+        nonlocal hidden
+        for t, *_ in stack[k:]:
+            open_of[t] -= 1
+            hidden -= t in HIDDEN_TAGS
+        del stack[k:]
+
     at = 0
     for m in _MARKUP.finditer(text):
         add(text[at : m.start()])
@@ -93,61 +131,71 @@ def leaves(page: str | None) -> list[Leaf]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if not m["close"] and tag not in _KNOWN:
+            add(m[0])
+            continue
         if m["end"]:
             if tag in BLOCK_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    hidden -= sum(t in HIDDEN_TAGS for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if open_of[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
+            k = stack[-1][3] if stack else -1
+            while k >= 0:
                 if stack[k][0] in CLOSES.get(tag, ()):
-                    hidden -= sum(t in HIDDEN_TAGS for t, _ in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in SCOPES:
                     break
+                k = stack[k - 1][3] if k else -1
         if tag == "br":
             add(" ")
-        if tag == "body":  # an open head ends here
-            hidden -= sum(t in HIDDEN_TAGS for t, _ in stack)
-            stack[:] = [x for x in stack if x[0] == "html"]
+        if tag == "body" and not bodies:  # an open head ends here
+            bodies, held = True, [x for x in stack if x[0] == "html"]
+            close(0)
+            stack += held
+            open_of["html"] += len(held)
         if tag in VOID_TAGS or m["rest"].endswith("/"):
             continue
-        names = tuple(p for x in _NAMES.findall(m["rest"]) for p in _PARTS.findall("".join(x).lower())) if m["rest"] else ()
-        stack.append((tag, names))
+        names = 0
+        for x in _NAMES.findall(m["rest"]) if m["rest"] else ():
+            for p in _PARTS.findall("".join(x).lower()):
+                names |= _bit("n", p)
+        under = stack[-1][1] if stack else 0
+        anchor = len(stack) if tag in _STOPS else stack[-1][3] if stack else -1
+        stack.append((tag, under | names | _bit("t", tag), under | names | _bit("leaf", tag), anchor))
+        open_of[tag] += 1
         hidden += tag in HIDDEN_TAGS
     add(text[at:])
     flush()
     return out
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _place(kind: str, word: str, places: int) -> int:
     return zlib.crc32(f"{kind}:{word}".encode()) % places
 
 
-def vectors(page: list[Leaf]) -> np.ndarray:
-    """(blocks x WIDTH): hashed path, hashed words, figures."""
-    out = np.zeros((len(page), WIDTH), np.float32)
-    for k, leaf in enumerate(page):
+def vectors(page: list[Leaf], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """(blocks x WIDTH): hashed path, hashed words, figures. ``start``, ``stop``: of these blocks of the page only."""
+    part = page[start:stop]
+    out = np.zeros((len(part), WIDTH), np.float32)
+    bits = np.frombuffer(b"".join(leaf.path.to_bytes(PATH_PLACES // 8, "little") for leaf in part), np.uint8).reshape(len(part), -1)
+    out[:, :PATH_PLACES] = np.unpackbits(bits, axis=1, bitorder="little")
+    for k, leaf in enumerate(part):
         x = out[k]
-        for depth, (tag, names) in enumerate(reversed(leaf.path)):
-            x[_place("t" if depth else "leaf", tag, PATH_PLACES)] = 1
-            for n in names:
-                x[_place("n", n, PATH_PLACES)] = 1
         words = leaf.text.lower().split()
         places = np.array([_place("w", w[:24], WORD_PLACES) for w in words])
-        np.add.at(x[PATH_PLACES : PATH_PLACES + WORD_PLACES], places, np.float32(1 / np.sqrt(len(words))))
+        x[PATH_PLACES : PATH_PLACES + WORD_PLACES] = np.bincount(places, minlength=WORD_PLACES) * np.float32(1 / np.sqrt(len(words)))
         n = len(leaf.text)
         x[-FIGURES:] = (
             np.log1p(n) / 6, np.log1p(len(words)) / 5, leaf.links, leaf.text[-1] in ".!?:;\"'", sum(map(leaf.text.count, ",.;")) / max(1, len(words)),
-            k / max(1, len(page) - 1), len(leaf.path) / 12, len(page) / (len(page) + 20),
+            (start + k) / max(1, len(page) - 1), min(leaf.depth, 60) / 12, len(page) / (len(page) + 20),
         )
-    np.clip(out, 0, 3, out=out)
+    np.clip(out, 0, 5, out=out)
+    np.clip(out[:, :-FIGURES], 0, 3, out=out[:, :-FIGURES])
     return out
 
 
@@ -169,11 +217,11 @@ def start_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return w
 
 
-def _pass(w: dict, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
-    """One direction over (time, batch, WIDTH); states stand still where the mask is 0."""
+def _pass(w: dict, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """One direction over (time, batch, WIDTH) and the state it ends in; states stand still where the mask is 0."""
     steps, batch, _ = x.shape
     out = np.zeros((steps, batch, HIDDEN), np.float32)
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+    h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
     given = x @ w[d + "x"] + w[d + "c"]
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         z = given[t] + h @ w[d + "h"]
@@ -186,18 +234,33 @@ def _pass(w: dict, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -
             keep.append((t, h, c, i, f, o, g, tanh, m))
         h, c = m * (o * tanh) + (1 - m) * h, m * new + (1 - m) * c
         out[t] = h
-    return out
+    return out, (h, c)
 
 
 def forward(w: dict, x: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Probability that each block is content, (time, batch)."""
     kept = {d: [] if keep is not None else None for d in "fb"}
-    joined = np.concatenate([_pass(w, "f", x, mask, kept["f"]), _pass(w, "b", x, mask, kept["b"]), x], axis=2)
+    joined = np.concatenate([_pass(w, "f", x, mask, kept["f"])[0], _pass(w, "b", x, mask, kept["b"])[0], x], axis=2)
     if keep is not None:
         keep.update(kept, joined=joined)
     return _sigmoid((joined @ w["o"])[..., 0] + w["oc"][0])
 
 
+def long_scores(w: dict, page: list[Leaf], size: int = 4096) -> np.ndarray:
+    """``forward`` for one page of any length: states pass from part to part, and only they and the outputs are held."""
+    starts = list(range(0, len(page), size))
+    out = np.zeros(len(page), np.float32)
+    for d, at in (("f", 0), ("b", HIDDEN)):
+        state = None
+        for k in starts if d == "f" else starts[::-1]:
+            x = vectors(page, k, k + size)[:, None]
+            y, state = _pass(w, d, x, np.ones((len(x), 1), np.float32), None, state)
+            out[k : k + size] += (y[:, 0] @ w["o"][at : at + HIDDEN])[:, 0]
+            if d == "f":
+                out[k : k + size] += (x[:, 0] @ w["o"][2 * HIDDEN :])[:, 0]
+    return _sigmoid(out + w["oc"][0])
+
+
 def gradients(w: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     keep: dict = {}
     p = forward(w, x, mask, keep)
@@ -351,7 +414,10 @@ def texts_of(pages: list[str | None], w: dict, together: int = 64) -> list[list[
     """Content blocks of each page. Pages of like length are read together."""
     found = [leaves(p) for p in pages]
     out: list[list[str]] = [[] for _ in pages]
-    order = sorted((k for k, p in enumerate(found) if p), key=lambda k: len(found[k]))
+    order = sorted((k for k, p in enumerate(found) if 0 < len(p) <= LONG_PAGE), key=lambda k: len(found[k]))
+    for k, p in enumerate(found):
+        if len(p) > LONG_PAGE:
+            out[k] = [leaf.text for leaf, s in zip(p, long_scores(w, p).tolist(), strict=True) if s > 0.5]
     for k in range(0, len(order), together):
         part = order[k : k + together]
         # A page of extraordinary length is read alone, so that it pads no others.
