@@ -9,7 +9,7 @@ the presences is linear, landmarks, K^(-1/2) and regression weights fold into on
 of texts is scored by one matrix product.
 
 The fit takes at most ``PER_LANGUAGE`` labelled texts of each language (the smallest digests of
-doc_id); texts are taken whole there and in prediction. Defined results: null texts and texts without
+doc_id, each text of an id once); texts are taken whole there and in prediction, whatever their length. Defined results: null texts and texts without
 a letter get ``und`` with score 0; null labels are not learned from; with no labelled text all get ``und``;
 ties go to the first language by code point; repeated rows and extra columns do no harm.
 """
@@ -90,21 +90,22 @@ def held_out(doc_id: Column) -> Column:
 
 def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """Fit on at most ``per_language`` labelled rows of each language; only their vectors reach the driver."""
-    named = docs.where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    # Languages are few. A digest below this share of its range keeps about four times the rows that are
-    # wanted of each, so that what is ranked does not grow with the corpus.
+    named = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id"))).where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    # Languages are few. A digest below this share of its range keeps about four times the ids that are
+    # wanted of each, so that what is ranked does not grow with the corpus. Ids are counted, not rows: a repeated one counts once.
     digest = F.md5(F.col("doc_id").cast("string"))
-    sizes = stored(named.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).coalesce(1))
+    sizes = stored(named.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n")).coalesce(1))
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    near = named.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") < 4.0 * per_language)
-    order = Window.partitionBy("lang").orderBy(digest, "doc_id")
-    picked = near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language).select("doc_id", F.col("lang").alias("_lang")).distinct().collect()
-    if not picked:
-        return None
-    spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame(picked, "doc_id long, _lang string"))
-    texts = named.join(few, "doc_id", "left_semi").selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text", "lang").limit(2 * len(picked))
+    near = named.join(sizes, "lang").where(place * F.col("_n") < 4.0 * per_language)
+    # Copies of a row go before they are ranked; only keys are ranked, only texts of the picked keys are read again.
+    keys = ["lang", "doc_id", "_print"]
+    near = near.select("lang", "doc_id", F.md5(F.col("text").cast("string").cast("binary")).alias("_print")).where("_print IS NOT NULL").distinct()
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "_print")
+    picked = stored(near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_language).select(*keys))
+    few = F.broadcast(picked) if picked.count() <= BROADCAST_LANGUAGES else picked
+    texts = named.withColumn("_print", F.md5(F.col("text").cast("string").cast("binary"))).join(few, keys, "left_semi").dropDuplicates(keys)
+    texts = texts.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text", "cast(lang AS string) AS lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
