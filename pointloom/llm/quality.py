@@ -166,14 +166,14 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only.
 
-    The statistics are taken twice rather than joined back by id: the text is never shuffled, and rows
+    Rows are measured once and kept with their statistics: the text is never shuffled, and rows
     with the same id are judged by their own text.
     """
-    learned = stored(limits(sketches(measured(docs))).coalesce(1))
     own = list(docs.columns)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", "lang", "source", "text")
-    rows = with_limits(measured(packed, ["_row", "lang", "source"]), learned)
-    return rows.where(~F.col("base_failed") & verdict()).select("_row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "lang", "source", "text")
+    rows = stored(measured(packed, ["_row", "lang", "source"]))
+    learned = stored(limits(sketches(rows)).coalesce(1))
+    return with_limits(rows, learned).where(~F.col("base_failed") & verdict()).select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
