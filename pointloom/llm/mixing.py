@@ -9,9 +9,10 @@ this order until their words come nearest to the rest of the target. The cut nee
 sort: ranks fall into ``BUCKETS`` buckets per source whose word sums are pre-aggregated; only the rows
 of the one bucket that holds the cut are ordered.
 
-The random number is a digest of the seed and doc_id, so reruns agree. Defined results: null text has
-size 0; null source is a source of its own, last in order; rows with the same doc_id tie and are ordered
-by size; a corpus without words has targets of 0; an empty table gives an empty result; extra columns are ignored.
+The random number is a digest of the seed, doc_id and text, so reruns agree, and rows with null or repeated ids are
+spread by their texts. Defined results: null text has
+size 0, texts may be of any length; null source is a source of its own, last in order; only rows of one doc_id and one text tie; a corpus without words has targets of 0; an empty table gives an empty result; extra columns, of
+whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long"), F.lit(0).cast("long"))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     """In (0, 1), from the first 48 bits of a digest."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12)
+    whole = F.concat(F.lit(seed + "/"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    digits = F.substring(F.md5(whole), 1, 12)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -60,12 +62,12 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return out.select("source", "source_size", "target", "whole", "p", (F.col("target") - F.col("whole") * F.col("source_size")).alias("need"))
 
 
-def _ranked(sized: DataFrame, per_source: DataFrame, few: bool, seed: str) -> DataFrame:
+def _ranked(sized: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     """Adds the source's figures, the Pareto rank ``_q`` and its ``_bucket``."""
     side = per_source.withColumnRenamed("source", "_source")
     side = F.broadcast(side) if few else side
     rows = sized.join(side, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    u = uniform(F.col("doc_id"), seed)
+    u = F.col("_u")
     odds = F.col("p") / (1.0 - F.col("p"))
     q = F.when(F.col("p") > 0, (u / (1.0 - u)) / odds)
     rows = rows.withColumn("_q", q)
@@ -75,10 +77,11 @@ def _ranked(sized: DataFrame, per_source: DataFrame, few: bool, seed: str) -> Da
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` (with doc_id, source, text) plus size, source_size, target and ``copies``."""
-    light = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    drawn = uniform(F.col("doc_id"), F.col("text"), seed).alias("_u")
+    light = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), drawn))
     per_source = stored(targets(light, weights, share, most).coalesce(1))
     few = per_source.count() <= BROADCAST_SOURCES
-    sums = _ranked(light, per_source, few, seed).where("_bucket IS NOT NULL").groupBy("source", "need", "_bucket").agg(F.sum("size").alias("words"))
+    sums = _ranked(light, per_source, few).where("_bucket IS NOT NULL").groupBy("source", "need", "_bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("_bucket")
     cut = sums.withColumn("upto", F.sum("words").over(upto)).where("upto >= need")
     cut = cut.groupBy("source").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
@@ -86,8 +89,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     figures = per_source.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     figures = stored(figures.coalesce(1))
     own = list(docs.columns)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-    rows = _ranked(packed, figures, few, seed)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", "source", size_of(F.col("text")).alias("size"), drawn)
+    rows = _ranked(packed, figures, few)
     sure = rows.where("_bucket IS NULL OR cut IS NULL OR _bucket <> cut")
     sure = sure.withColumn("_extra", F.when(F.col("_bucket").isNotNull() & (F.col("cut").isNull() | (F.col("_bucket") < F.col("cut"))), F.lit(1)).otherwise(F.lit(0)))
     ahead = Window.partitionBy("source").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -110,7 +113,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, ([3.0e0, 1.0e0, 2.0e0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source
 ), r AS (
@@ -123,7 +126,7 @@ WITH d AS (
 ), w AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS ratio FROM t
 ), x AS (
   SELECT d.*, w.source_size, w.target, floor(w.ratio)::BIGINT AS whole, w.ratio - floor(w.ratio) AS p, w.target - floor(w.ratio)::BIGINT * w.source_size AS need,
-    (('0x' || substr(md5('mix-1/' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5e0) / 281474976710656e0 AS u
+    (('0x' || substr(md5('mix-1/' || coalesce(d.doc_id::VARCHAR, '') || '/' || md5(coalesce(d.text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5e0) / 281474976710656e0 AS u
   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
 ), q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1e0 - u)) / (p / (1e0 - p)) END AS q FROM x
 ), c AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
