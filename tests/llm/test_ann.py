@@ -68,3 +68,31 @@ def test_edges(spark):
     got = [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 50), (0, 3, 2), (50, 1, 0), (50, 2, 1), (50, 3, 2)]  # ties to the smaller id
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_components_of_any_finite_size(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 0.0]), (3, [0.0, 1e-320]), (4, [-1e308, 1e308]), (5, [1e308, 1e-308]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame([(50 * i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 12)))
+    assert set(got) == {0, 50, 100, 150, 200, 250}
+    assert sorted(got[0])[:3] == [(1, 50, 1.0), (2, 100, 1.0), (3, 250, 1.0)] and sorted(got[0])[4][1] == 200
+    assert abs(sorted(got[150])[0][2] - 0.5**0.5) < 1e-9
+
+
+def test_bounds_of_earlier_blocks_keep_the_recall(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((3000, 48)) + 2 * rng.standard_normal((30, 48))[rng.integers(0, 30, 3000)]
+    ids, hits = np.arange(3000), 0
+    blocks = [ann.Block(ids[k : k + 500], ann.scaled(vectors[k : k + 500])) for k in range(0, 3000, 500)]
+    asked = np.arange(0, 3000, 60)
+    best = {}
+    for block in blocks:
+        bounds = np.array([best[q][1][-1] if q in best and len(best[q][1]) == 5 else -np.inf for q in range(len(asked))])
+        for q, i, s in block.search(asked, ann.scaled(vectors[asked]), 5, bounds):
+            old = best.get(q, (ids[:0], np.zeros(0)))
+            best[q] = ann.best_of(np.concatenate([old[0], i]), np.concatenate([old[1], s]), 5)
+    for q, i in enumerate(asked):
+        hits += len(set(best[q][0].tolist()) & {j for j, _ in brute(ids, vectors, vectors[i], i)})
+    assert hits >= 0.9 * 5 * len(asked)
