@@ -3,6 +3,10 @@
 Every stage takes all its predecessor kept and returns the columns of ``documents``; the last returns
 pieces of packed sequences. Between stages the documents are a Parquet table in the shared folder, so
 a lost executor repeats tasks of one stage only.
+
+Defined results: null texts and texts without words fall to the first stage's base rule; rows with null or repeated ids are
+documents of their own, told apart by their texts; of rows alike in every word one stays; further columns, of
+whatever name, are carried to the last stage; an empty table gives an empty result; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pointloom.llm.common import stored, table
 from pointloom.llm.mixing import resampled
 from pointloom.llm.near import one_of_each
 from pointloom.llm.packing import packed
-from pointloom.llm.pii import without_pii
+from pointloom.llm.pii import key_of, without_pii
 from pointloom.llm.quality import keep_good
 
 
@@ -28,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced within its format."""
-    return without_pii(docs)
+    """Personal data is replaced within its format, under the key of the session (see ``key_of``)."""
+    return without_pii(docs, key_of(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
