@@ -51,8 +51,9 @@ PERCENT = 75
 BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_SHINGLES = 2_000_000, 60_000, 4_000_000
 #: Occurrences in a block of documents from which a shingle is sent on as a count.
 FOLD = 16
+_ROUGH = 1 << 20
 #: Sets and shingles per block of a large candidate component; shingles that small components share a task at.
-BLOCK, BLOCK_SUM, TASK_SHINGLES = 512, 2_000_000, 1_000_000
+BLOCK, BLOCK_SUM, TASK_SHINGLES = 256, 2_000_000, 1_000_000
 #: Pivots of a large component in each of the two rounds.
 PIVOTS = 8
 #: Size of the filter that spares most texts the last reading.
@@ -193,14 +194,23 @@ def _shingles_by_bucket(buckets: int):
             tokens = np.concatenate(sets)
             place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((tokens.astype(np.uint32), bucket))
-            tokens, place, bucket = tokens.astype(np.uint32)[order], place[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (bucket[1:] != bucket[:-1])]))
-            times = np.diff(np.append(first, len(tokens)))
-            often = times > FOLD  # a frequent shingle goes to its bucket as a count; its places stay with the block
-            folded = np.repeat(often, times)
+            low = tokens.astype(np.uint32)
+            # A frequent shingle goes to its bucket as a count; its places stay with the block. Few shingles pass the rough count.
+            rough = np.bincount(low & np.uint32(_ROUGH - 1), minlength=_ROUGH) > FOLD
+            maybe = np.flatnonzero(rough[low & np.uint32(_ROUGH - 1)])
+            maybe = maybe[np.lexsort((low[maybe], bucket[maybe]))]
+            new = np.concatenate([[True], (low[maybe[1:]] != low[maybe[:-1]]) | (bucket[maybe[1:]] != bucket[maybe[:-1]])])[: len(maybe)]
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(maybe)))
+            often = times > FOLD
+            folded = maybe[np.repeat(often, times)]
+            alone = np.ones(len(tokens), bool)
+            alone[folded] = False
+            order = np.flatnonzero(alone)
+            order = order[np.argsort(bucket[order], kind="stable")]
+            heads = maybe[first[often]]
             rows = []
-            for kind, t, p, k in ((0, tokens[~folded], place[~folded], bucket[~folded]), (2, tokens[first[often]], times[often].astype(np.uint32), bucket[first[often]])):
+            for kind, t, p, k in ((0, low[order], place[order], bucket[order]), (2, low[heads], times[often].astype(np.uint32), bucket[heads])):
                 ends = np.searchsorted(k, np.arange(buckets + 1))
                 rows += [(j, name, kind, t[x:y].tobytes(), p[x:y].tobytes(), None) for j, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
             rows.append((name % buckets, name, 1, np.array([d[0] for d in held], np.int64).tobytes(), np.array([len(s) for s in sets], np.int32).tobytes(), place[folded].tobytes()))
