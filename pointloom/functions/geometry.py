@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -161,61 +162,175 @@ def fitted_line(points: np.ndarray, trim: float) -> tuple[np.ndarray, np.ndarray
     return centre, d, float(np.sqrt((off**2).mean()))
 
 
-def best_chain(zones: list[tuple[float, float, float]], clear: float, spacing: float) -> list[int]:
-    """Best sequence of slab zones (bottom, top, score), in order of top: clear height and spacing bound each step,
-    and a step scores less the further its spacing is from 3.2 m."""
-    order = sorted(range(len(zones)), key=lambda k: (zones[k][1], zones[k][0]))
-    best: list[tuple[float, list[int]]] = []
-    for i, k in enumerate(order):
-        bottom, top, score = zones[k]
-        found = (score, [k])
-        for j in range(i):
-            step = top - zones[order[j]][1]
-            if bottom - zones[order[j]][1] >= clear and step <= spacing:
-                total = best[j][0] + score - 0.15 * abs(step - 3.2)
-                if total > found[0]:
-                    found = (total, [*best[j][1], k])
-        best.append(found)
-    return max(best, key=lambda b: (len(b[1]) >= 2, b[0]))[1] if best else []
-
-
-def tread_sequences(treads: np.ndarray, rise=(0.10, 0.24), going=(0.18, 0.45), tolerances=(0.025, 0.045, 0.10), least: int = 4, missing: float = 0.4) -> list[dict]:
-    """Regular flights among tread centres (x, y, z): seeds of two treads one to three steps apart propose a lattice,
-    which collects one tread for each step, is fitted to them all, and is accepted by size without sharing treads."""
-    t = np.asarray(treads, float).reshape(-1, 3)
-    found = []
-    for a in range(len(t)):
-        for b in range(len(t)):
-            flat = t[b, :2] - t[a, :2]
-            run = math.hypot(*flat)
-            if b == a or t[b, 2] <= t[a, 2] or not going[0] <= run <= 3 * going[1]:
+def best_chain(zones: list[tuple[float, float, float]], clear: float, spacing: float, usual: float = 3.2, price: float = 0.15) -> list[int]:
+    """Best sequence of slab zones (bottom, top, score), lowest first.
+
+    Zones are the nodes of an acyclic graph: an arc leads from a zone to one whose bottom is at least ``clear`` above
+    its top and whose top is at most ``spacing`` above. An arc earns its end's score less ``price`` for each metre off the ``usual``
+    spacing. Values rise to the fixed point of ``value[j] = max(score[j], max_i(value[i] + arc[i, j]))``; the chain is read
+    back from the best end that has a predecessor, or is the best single zone where no arc exists.
+    """
+    if not zones:
+        return []
+    bottom, top, score = np.array(zones, float).T
+    step = top[None, :] - top[:, None]
+    allowed = (bottom[None, :] - top[:, None] >= clear) & (step <= spacing)
+    arc = np.where(allowed, score[None, :] - price * np.abs(step - usual), -np.inf)
+    value = score.copy()
+    while True:
+        via = (value[:, None] + arc).max(axis=0)
+        better = np.maximum(score, via)
+        if np.array_equal(better, value):
+            break
+        value = better
+    end = int(np.argmax(via)) if np.isfinite(via).any() else int(np.argmax(score))
+    chain = [end]
+    joined = np.isfinite(via[end])
+    while joined:
+        end = int(np.argmax(value + arc[:, end]))
+        chain.append(end)
+        joined = via[end] > score[end]
+    return chain[::-1]
+
+
+@dataclass(frozen=True)
+class TreadRules:
+    """What makes patches a flight (metres; axes by the sine of their angle): fixed values."""
+
+    rise: tuple[float, float] = (0.10, 0.24)
+    going: tuple[float, float] = (0.18, 0.45)
+    off_height: float = 0.025
+    off_along: float = 0.045
+    off_across: float = 0.10
+    axis: float = 0.2
+    width: float = 0.25
+    most_missing_in_a_row: int = 2
+    least: int = 4
+    missing: float = 0.4
+
+
+def _lattices(t: np.ndarray, rules: TreadRules) -> np.ndarray:
+    """Hypotheses (x, y, z of step 0, dx, dy, dz a step, axis-free width) from every two patches that may lie one to three steps apart."""
+    out = []
+    for apart in range(1, rules.most_missing_in_a_row + 2):
+        step = (t[None, :, :3] - t[:, None, :3]) / apart
+        run = np.hypot(step[..., 0], step[..., 1])
+        safe = np.where(run > 0, run, 1)
+        turned = np.abs((step[..., 0] * t[:, None, 3] + step[..., 1] * t[:, None, 4]) / safe), np.abs((step[..., 0] * t[None, :, 3] + step[..., 1] * t[None, :, 4]) / safe)
+        ok = (run >= rules.going[0]) & (run <= rules.going[1]) & (step[..., 2] >= rules.rise[0]) & (step[..., 2] <= rules.rise[1])
+        ok &= (turned[0] <= rules.axis) & (turned[1] <= rules.axis)
+        i, j = np.nonzero(ok)
+        out.append(np.column_stack([t[i, :3], step[i, j], t[i, 5]]))
+    return np.concatenate(out)
+
+
+def _on(t: np.ndarray, lattice: np.ndarray, rules: TreadRules) -> list[tuple[int, int]]:
+    """(step, patch) of the unbroken run of steps of a lattice that patches fill: the nearest patch of each step."""
+    run = math.hypot(lattice[3], lattice[4])
+    d = lattice[3:5] / run
+    rel = t[:, :3] - lattice[:3]
+    step = np.rint(rel[:, 2] / lattice[5])
+    miss = np.stack([rel[:, 2] - step * lattice[5], rel[:, :2] @ d - step * run, rel[:, :2] @ np.array([-d[1], d[0]])])
+    bound = np.array([rules.off_height, rules.off_along, rules.off_across])[:, None]
+    fits = (np.abs(miss) <= bound).all(axis=0) & (step >= 0) & (np.abs(t[:, 3:5] @ d) <= rules.axis) & (np.abs(t[:, 5] - lattice[6]) <= rules.width)
+    rows = np.flatnonzero(fits)
+    rows = rows[np.lexsort((rows, np.abs(miss[:, rows]).sum(axis=0), step[rows]))]
+    places, first = np.unique(step[rows].astype(int), return_index=True)
+    gaps = np.flatnonzero(np.diff(places) > rules.most_missing_in_a_row + 1)
+    stop = gaps[0] + 1 if len(gaps) else len(places)
+    return list(zip(places[:stop].tolist(), rows[first[:stop]].tolist(), strict=True))
+
+
+def tread_sequences(treads: np.ndarray, rules: TreadRules = TreadRules()) -> list[dict]:
+    """Regular flights among tread patches (x, y, z, axis x, axis y, width), by consensus: lattices proposed by pairs are held
+    against all free patches; the one that most patches fill, without too many holes, is fitted to them and taken out, until none is left.
+
+    The axis of a tread lies across the flight; its width is that of the others. End steps are never extrapolated.
+    """
+    t = np.asarray(treads, float).reshape(-1, 6)
+    free, found = np.arange(len(t)), []
+    proposed = _lattices(t, rules) if len(t) else np.zeros((0, 7))
+    while len(free) >= rules.least and len(proposed):
+        best, alive = None, []
+        for k, lattice in enumerate(proposed):
+            run = _on(t[free], lattice, rules)
+            if len(run) < rules.least or run[0][0] != 0:
                 continue
-            along = flat / run
-            for gap in (1, 2, 3):
-                r, g = (t[b, 2] - t[a, 2]) / gap, run / gap
-                if not (rise[0] <= r <= rise[1] and going[0] <= g <= going[1]):
-                    continue
-                step = np.rint((t[:, 2] - t[a, 2]) / r).astype(int)
-                rel = t[:, :2] - t[a, :2]
-                off = np.stack([np.abs(t[:, 2] - t[a, 2] - step * r), np.abs(rel @ along - step * g), np.abs(rel @ np.array([-along[1], along[0]]))])
-                good = (off <= np.array(tolerances)[:, None]).all(axis=0) & (step >= 0) & (step < 100)
-                taken: dict[int, int] = {}
-                for k in sorted(np.flatnonzero(good), key=lambda k: (off[:, k].sum(), k)):
-                    taken.setdefault(int(step[k]), int(k))
-                steps = sorted(taken)
-                cut = next((k + 1 for k, d in enumerate(np.diff(steps)) if d > 3), len(steps))
-                steps = steps[:cut]
-                if len(steps) < least or steps[0] != 0 or steps[-1] + 1 - len(steps) > missing * (steps[-1] + 1):
+            alive.append(k)
+            steps, members = [s for s, _ in run], [int(free[m]) for _, m in run]
+            holes = steps[-1] + 1 - len(steps)
+            if holes <= rules.missing * (steps[-1] + 1):
+                rank = (-len(members), holes, members)
+                if best is None or rank < best[0]:
+                    best = rank, steps, members
+        if best is None:
+            break
+        (_, holes, members), steps, _ = best
+        n, k = len(steps), np.array(steps, float)
+        along = ((k - k.mean())[:, None] * (t[members, :3] - t[members, :3].mean(axis=0))).sum(axis=0) / ((k - k.mean()) ** 2).sum()
+        start = t[members, :3].mean(axis=0) - along * k.mean()
+        found.append({"members": members, "steps": steps[-1] + 1, "missing": holes, "rise": float(along[2]), "going": math.hypot(along[0], along[1]), "start": start.tolist(), "observed": n})
+        free = np.setdiff1d(free, members)
+        proposed = proposed[alive]  # a lattice that fails with more patches fails with fewer
+    return sorted(found, key=lambda f: (f["start"][2], f["start"][0], f["start"][1]))
+
+
+def paired_walls(faces: np.ndarray, centre: tuple[float, float], border: np.ndarray, thickness: tuple[float, float], least: float, assumed: float, exterior: float, near: float, angle: float = 5.0) -> list[dict]:
+    """Walls of one storey from observed faces (x0, y0, x1, y1): (start, end, thickness, label, faces).
+
+    Parallel faces within the bounds of thickness that run side by side for ``least`` are the two sides of one wall, along
+    what they have in common; closest pairs go first. What a face has left over beyond its pairs, if long enough, is a face of its own.
+    A face without a partner is an exterior wall where it lies on the border of the footprint (its body outside), else a
+    wall of assumed thickness on the face itself.
+    """
+    f = np.asarray(faces, float).reshape(-1, 4)
+    d = f[:, 2:] - f[:, :2]
+    length = np.hypot(*d.T)
+    d = d / length[:, None]
+    cosine = math.cos(math.radians(angle))
+    options = []
+    for i in range(len(f)):
+        n = np.array([-d[i, 1], d[i, 0]])
+        for j in range(i + 1, len(f)):
+            if abs(d[i] @ d[j]) < cosine:
+                continue
+            offset = float(((f[j, :2] + f[j, 2:]) / 2 - f[i, :2]) @ n)
+            ends = sorted(((f[j, :2] - f[i, :2]) @ d[i], (f[j, 2:] - f[i, :2]) @ d[i]))
+            if thickness[0] <= abs(offset) <= thickness[1] and min(length[i], ends[1]) - max(0.0, ends[0]) >= least:
+                options.append((round(abs(offset), 6), i, j, offset))
+    rest = {i: [(0.0, float(length[i]))] for i in range(len(f))}  # stretches of each face that no wall has yet
+    out = []
+    for gap, i, j, offset in sorted(options):
+        flip = float(d[i] @ d[j])
+        shift = float((f[j, :2] - f[i, :2]) @ d[i])
+        for a, b in list(rest[i]):
+            for p, q in list(rest[j]):
+                lo, hi = sorted((shift + flip * p, shift + flip * q))
+                lo, hi = max(a, lo), min(b, hi)
+                if hi - lo < least or (a, b) not in rest[i]:
                     continue
-                members = [taken[s] for s in steps]
-                fit = np.linalg.lstsq(np.column_stack([np.ones(len(steps)), steps]), t[members], rcond=None)[0]
-                found.append({"members": members, "steps": steps[-1] + 1, "missing": steps[-1] + 1 - len(steps), "rise": float(fit[1, 2]), "going": math.hypot(*fit[1, :2])})
-    out, used = [], set()
-    for f in sorted(found, key=lambda f: (-len(f["members"]), f["missing"], f["members"])):
-        if not used & set(f["members"]):
-            used |= set(f["members"])
-            out.append(f)
-    return out
+                n = np.array([-d[i, 1], d[i, 0]])
+                start, end = (f[i, :2] + v * d[i] + offset / 2 * n for v in (lo, hi))
+                out.append({"start": start, "end": end, "thickness": gap, "label": "paired_faces", "faces": [i, j]})
+                rest[i].remove((a, b))
+                rest[i] += [s for s in ((a, lo), (hi, b)) if s[1] - s[0] >= least]
+                u, v = sorted(((lo - shift) / flip, (hi - shift) / flip))
+                rest[j].remove((p, q))
+                rest[j] += [s for s in ((p, u), (v, q)) if s[1] - s[0] >= least]
+    edges = np.concatenate([border, np.roll(border, -1, axis=0)], axis=1)
+    for i, stretches in rest.items():
+        for a, b in stretches:
+            start, end = f[i, :2] + a * d[i], f[i, :2] + b * d[i]
+            middle, n = (start + end) / 2, np.array([-d[i, 1], d[i, 0]])
+            t = np.clip(((middle - edges[:, :2]) * (edges[:, 2:] - edges[:, :2])).sum(axis=1) / ((edges[:, 2:] - edges[:, :2]) ** 2).sum(axis=1), 0, 1)
+            away = np.hypot(*(edges[:, :2] + t[:, None] * (edges[:, 2:] - edges[:, :2]) - middle).T).min()
+            if away <= near:
+                n = -n if n @ (np.asarray(centre) - middle) > 0 else n
+                start, end = start + n * exterior / 2, end + n * exterior / 2
+                out.append({"start": start, "end": end, "thickness": exterior, "label": "exterior_candidate", "faces": [i]})
+            else:
+                out.append({"start": start, "end": end, "thickness": assumed, "label": "single_face_candidate", "faces": [i]})
+    return sorted(out, key=lambda w: tuple(np.round((w["start"] + w["end"]) / 2, 6)))
 
 
 def normals(covariances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -42,9 +42,11 @@ def channel(value: Column, flag: Column) -> tuple[Column, Column]:
 
 
 def rotation(w: float, x: float, y: float, z: float) -> list[list[float]]:
-    """Rotation matrix of a unit quaternion."""
-    if abs(math.sqrt(w * w + x * x + y * y + z * z) - 1) > 1e-6:
+    """Rotation matrix of a quaternion, scaled to length 1; one that is off by more than 1e-6 is an error."""
+    norm = math.sqrt(w * w + x * x + y * y + z * z)
+    if not abs(norm - 1) <= 1e-6:
         raise ValueError("a quaternion must have length 1")
+    w, x, y, z = w / norm, x / norm, y / norm, z / norm
     return [
         [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
         [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
@@ -69,18 +71,25 @@ def in_height(cloud: DataFrame, low: float, high: float) -> DataFrame:
     return cloud.where(F.col("z").between(num(low), num(high)))
 
 
+def edge_tolerance(polygon: Sequence[tuple[float, float]]) -> float:
+    xs, ys = zip(*polygon, strict=True)
+    return max(1.0, max(xs) - min(xs), max(ys) - min(ys)) * 1e-10
+
+
 def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]]) -> Column:
-    """Ray casting with the boundary inside, as one expression over at most 64 edges."""
+    """Ray casting with the boundary inside, as one expression over at most 64 edges.
+
+    A point is on an edge if the cross product with it is at most the tolerance, whatever the edge's length.
+    """
     if not 3 <= len(polygon) <= 64:
         raise ValueError("a polygon needs 3 to 64 vertices")
-    xs, ys = zip(*polygon, strict=True)
-    tolerance = max(1.0, max(xs) - min(xs), max(ys) - min(ys)) * 1e-10
+    tolerance = edge_tolerance(polygon)
     crossings, on_edge = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
         dx, dy = bx - ax, by - ay
         cross = num(dx) * (y - num(ay)) - num(dy) * (x - num(ax))
         on_edge = on_edge | (
-            (F.abs(cross) <= num(tolerance * max(1.0, math.hypot(dx, dy))))
+            (F.abs(cross) <= num(tolerance))
             & x.between(num(min(ax, bx) - tolerance), num(max(ax, bx) + tolerance))
             & y.between(num(min(ay, by) - tolerance), num(max(ay, by) + tolerance))
         )
@@ -91,12 +100,47 @@ def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]]) ->
 
 
 def cropped(cloud: DataFrame, polygon: Sequence[tuple[float, float]], low: float, high: float) -> DataFrame:
-    """Height, then bounding box (both reach the scan), then the polygon itself. Ids stay."""
+    """Height, then bounding box with the polygon's tolerance (both reach the scan), then the polygon itself. Ids stay."""
     xs, ys = zip(*polygon, strict=True)
-    box = in_height(cloud, low, high).where(F.col("x").between(num(min(xs)), num(max(xs))) & F.col("y").between(num(min(ys)), num(max(ys))))
+    t = edge_tolerance(polygon)
+    box = in_height(cloud, low, high).where(F.col("x").between(num(min(xs) - t), num(max(xs) + t)) & F.col("y").between(num(min(ys) - t), num(max(ys) + t)))
     return box.where(in_polygon(F.col("x"), F.col("y"), polygon))
 
 
+def checked_crop(polygon: Sequence[tuple[float, float]], low: float, high: float) -> None:
+    """A crop has 3 to 64 finite vertices, heights in order, and sides that neither cross nor touch but at common corners."""
+    points = [tuple(map(float, p)) for p in polygon]
+    if not 3 <= len(points) <= 64 or not all(map(math.isfinite, (low, high, *(v for p in points for v in p)))) or low >= high:
+        raise ValueError("a crop needs 3 to 64 finite vertices and a lower height below the upper")
+
+    def side(a, b, p) -> float:
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    def touches(a, b, p) -> bool:
+        return side(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+
+    n = len(points)
+    sides = [(points[k], points[(k + 1) % n]) for k in range(n)]
+    for i, (a, b) in enumerate(sides):
+        for j in range(i + 1, n):
+            c, d = sides[j]
+            if j == i + 1 or (i == 0 and j == n - 1):
+                far, corner = (d, b) if j == i + 1 else (c, a)
+                bad = a == b or touches(a, b, far) or touches(c, d, a if corner == b else b)
+            else:
+                bad = side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+                bad = bad or any(touches(*s, p) for s, p in (((a, b), c), ((a, b), d), ((c, d), a), ((c, d), b)))
+            if bad:
+                raise ValueError("a crop polygon must not cross or touch itself")
+
+
+def not_empty(cloud: DataFrame, what: str = "selection") -> DataFrame:
+    """The cloud itself, or an error where it has no points: an empty crop is never taken for a result."""
+    if cloud.isEmpty():
+        raise ValueError(f"the {what} holds no points")
+    return cloud
+
+
 def strided(cloud: DataFrame, stride: int, position: str = "rid") -> DataFrame:
     return cloud.where(F.pmod(F.col(position), F.lit(stride)) == 0)
 

@@ -157,11 +157,14 @@ def multi_slice_walls(cloud: DataFrame, by: str, low: float, high: float, slices
 
 
 def flights(treads: DataFrame, by: str) -> DataFrame:
-    """Regular flights among tread centres (by, id, x, y, z): (by, flight, ids, steps, missing, rise, going)."""
+    """Regular flights among tread patches (by, id, x, y, z, ax, ay, width): (by, flight, ids, steps, missing, rise, going).
+
+    (ax, ay) is the direction of a tread's long side, which lies across its flight.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        found = K.tread_sequences(pdf[["x", "y", "z"]].to_numpy())
+        found = K.tread_sequences(pdf[["x", "y", "z", "ax", "ay", "width"]].to_numpy())
         ids = pdf["id"].to_numpy()
         rows = [(pdf[by].iloc[0], k, ",".join(str(ids[m]) for m in f["members"]), f["steps"], f["missing"], f["rise"], f["going"]) for k, f in enumerate(found)]
         return pd.DataFrame(rows, columns=[by, "flight", "ids", "steps", "missing", "rise", "going"])

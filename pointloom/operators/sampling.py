@@ -33,18 +33,19 @@ def voxel_sample(cloud: DataFrame, size: float, origin: Sequence[float]) -> Data
 def budgeted_size(cloud: DataFrame, size: float, most: int, doublings: int = 64) -> tuple[float, int, int]:
     """(size, voxels, doublings): the voxel doubles until at most ``most`` voxels are occupied.
 
-    Every doubling bins the original points anew; only counts come back. Counting stops early
-    inside one pass: sizes are tried four at a time.
+    Every doubling bins the original points anew; only counts come back, four sizes of one pass at a time.
     """
     b = bounds(cloud).first()
     if not b.n:
         return size, 0, 0
     origin = (b.min_x, b.min_y, b.min_z)
     for start in range(0, doublings + 1, 4):
-        for k in range(start, min(start + 4, doublings + 1)):
-            n = cloud.select(*voxel_keys(origin, size * 2**k)).distinct().count()
-            if n <= most:
-                return size * 2**k, n, k
+        tried = range(start, min(start + 4, doublings + 1))
+        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *voxel_keys(origin, size * 2**k)) for k in tried])).alias("v")
+        counts = {r.k: r.n for r in cloud.select(keys).select("v.*").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for k in tried:
+            if counts[k] <= most:
+                return size * 2**k, counts[k], k
     raise ValueError("the budget cannot be met")
 
 

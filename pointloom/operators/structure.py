@@ -104,12 +104,20 @@ def zone_pairs(faces: DataFrame, low: float, high: float, share: float) -> DataF
 
 
 def profile_envelope(near: DataFrame, width: float, most_gap: int, share: float, owner: str = "face") -> DataFrame:
-    """Lowest and highest point of each column of a wall; short gaps are bridged, walls with too few columns dropped."""
-    cols = near.groupBy(owner, F.floor(F.col("along") / num(width)).cast("long").alias("col")).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-    w = O.over([owner], "col")
-    gap = cols.withColumn("gap", F.col("col") - F.lag("col").over(w) - 1)
-    shape = gap.groupBy(owner).agg(F.count(F.lit(1)).alias("columns"), (F.max("col") - F.min("col") + 1).alias("span"), F.max("gap").alias("widest"))
-    return shape.where((F.col("columns") >= num(share) * F.col("span")) & (F.coalesce("widest", F.lit(0)) <= most_gap))
+    """Lowest and highest point of each column of a wall, in millimetres: (owner, col, lo, hi, measured).
+
+    Walls with too few measured columns, or a gap of more than ``most_gap``, have no envelope; shorter gaps lie on
+    the straight line between their neighbours.
+    """
+    mm = lambda c: F.round(c * num(1e3)).cast("long")
+    cols = near.groupBy(owner, F.floor(F.col("along") / num(width)).cast("long").alias("col")).agg(mm(F.min("z")).alias("lo"), mm(F.max("z")).alias("hi"))
+    w, whole = O.over([owner], "col"), Window.partitionBy(owner)
+    after = cols.withColumns({"next": F.lead("col").over(w), "lo2": F.lead("lo").over(w), "hi2": F.lead("hi").over(w)})
+    shape = after.withColumns({"n": F.count(F.lit(1)).over(whole), "span": F.max("col").over(whole) - F.min("col").over(whole) + 1, "widest": F.max(F.col("next") - F.col("col") - 1).over(whole)})
+    good = shape.where((F.col("n") >= num(share) * F.col("span")) & (F.coalesce("widest", F.lit(0)) <= most_gap))
+    each = good.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("next") - F.col("col") - 1, F.lit(0).cast("long")))))
+    between = lambda a, b: F.when(F.col("k") == 0, F.col(a)).otherwise(F.round(F.col(a) + F.col("k") * (F.col(b) - F.col(a)) / (F.col("next") - F.col("col"))).cast("long"))
+    return each.select(owner, (F.col("col") + F.col("k")).alias("col"), between("lo", "lo2").alias("lo"), between("hi", "hi2").alias("hi"), (F.col("k") == 0).alias("measured"))
 
 
 def column_envelopes(points: DataFrame, owner: str, least_height: float) -> DataFrame:

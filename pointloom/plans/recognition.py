@@ -57,7 +57,7 @@ def tread_sequences(spark, d):
     k, n = F.col("s_suppkey"), F.col("n")
     t = read(spark, d, "supplier").withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9))))
     x = F.when(n < 8, n * num(0.28)).otherwise(num(5) + n)
-    treads = t.where(~((k % 3 == 0) & (n == 3))).select(k.alias("grp"), n.cast("long").alias("id"), (x + k % 5).alias("x"), (k % 7).cast("double").alias("y"), (F.when(n < 8, n * num(0.17)).otherwise(num(0.4))).alias("z"))
+    treads = t.where(~((k % 3 == 0) & (n == 3))).select(k.alias("grp"), n.cast("long").alias("id"), (x + k % 5).alias("x"), (k % 7).cast("double").alias("y"), (F.when(n < 8, n * num(0.17)).otherwise(num(0.4))).alias("z"), num(0).alias("ax"), num(1).alias("ay"), num(1.1).alias("width"))
     return R.flights(treads, "grp").select("grp", "flight", "ids", "steps", "missing", F.round("rise", 6).alias("rise"), F.round("going", 6).alias("going"))
 
 

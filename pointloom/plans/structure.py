@@ -134,10 +134,13 @@ def slab_zone_pairs(spark, d):
     return T.zone_pairs(f, 0.08, 0.6, 0.45)
 
 
-@query(f"""WITH {NEAR_SQL}, k AS (SELECT face, CAST(floor(along / 0.2e0) AS BIGINT) AS col FROM near GROUP BY ALL), g AS (SELECT *, col - lag(col) OVER (PARTITION BY face ORDER BY col) - 1 AS gap FROM k)
-SELECT face, count(*) AS columns, max(col) - min(col) + 1 AS span, max(gap) AS widest FROM g GROUP BY face HAVING count(*) >= 0.6e0 * (max(col) - min(col) + 1) AND coalesce(max(gap), 0) <= 2""")
+@query(f"""WITH {NEAR_SQL}, k AS (SELECT face, CAST(floor(along / 0.2e0) AS BIGINT) AS col, CAST(round(min(z) * 1e3) AS BIGINT) AS lo, CAST(round(max(z) * 1e3) AS BIGINT) AS hi FROM near GROUP BY ALL),
+g AS (SELECT *, lead(col) OVER w AS nx, lead(lo) OVER w AS lo2, lead(hi) OVER w AS hi2 FROM k WINDOW w AS (PARTITION BY face ORDER BY col)),
+s AS (SELECT *, count(*) OVER f AS n, max(col) OVER f - min(col) OVER f + 1 AS span, max(nx - col - 1) OVER f AS widest FROM g WINDOW f AS (PARTITION BY face)),
+e AS (SELECT *, unnest(generate_series(0, coalesce(nx - col - 1, 0))) AS j FROM s WHERE n >= 0.6e0 * span AND coalesce(widest, 0) <= 2)
+SELECT face, col + j AS col, CASE WHEN j = 0 THEN lo ELSE CAST(round(lo + j * (lo2 - lo) / (nx - col)::DOUBLE) AS BIGINT) END AS lo, CASE WHEN j = 0 THEN hi ELSE CAST(round(hi + j * (hi2 - hi) / (nx - col)::DOUBLE) AS BIGINT) END AS hi, j = 0 AS measured FROM e""")
 def wall_profiles(spark, d):
-    """Walls whose envelope is supported well enough to be fitted."""
+    """Lower and upper envelope of each wall that is supported well enough, short gaps filled."""
     return T.profile_envelope(near(spark, d), 0.2, 2, 0.6)
 
 

@@ -26,7 +26,7 @@ def read_xyz(spark: SparkSession, path: str, stride: int = 1, columns: int = 3)
     counts = checked.groupBy("file", "block").agg(F.count("p").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("n")
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")) - 1
-    numbered = checked.withColumn("k", inside).join(F.broadcast(before), ["file", "block"]).withColumn("pos", (F.col("before") + F.col("k")).cast("long"))
+    numbered = checked.withColumn("k", inside).join(before, ["file", "block"]).withColumn("pos", (F.col("before") + F.col("k")).cast("long"))
     return numbered.where(F.pmod("pos", F.lit(stride)) == 0).select("pos", *[F.col("p")[i].alias(c) for i, c in enumerate(COLUMNS[columns])])
 
 
@@ -38,7 +38,13 @@ def write_xyz(cloud: DataFrame, path: str, channels: tuple[str, ...] = ("x", "y"
     jvm = spark.sparkContext._jvm
     target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # The old files stay until the new ones are in place: a failure between the steps loses neither.
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.previous")
     if fs.exists(target):
-        fs.delete(target, True)
+        fs.delete(aside, True)
+        if not fs.rename(target, aside):
+            raise OSError(f"cannot move the old {path} aside")
     if not fs.rename(source, target):
+        fs.rename(aside, target)
         raise OSError(f"cannot publish {path}")
+    fs.delete(aside, True)

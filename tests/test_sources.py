@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from pointloom.sources import documents, generations, xyz
@@ -21,7 +22,7 @@ def test_xyz_round_trip_and_stride(spark, tmp_path, sf):
 def test_xyz_refuses_rows_that_the_stride_skips(spark, tmp_path, bad):
     f = tmp_path / "a.txt"
     f.write_text(f"X Y Z\n// note\n1 2 3\n{bad}\n4 5 6\n")
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, Py4JJavaError), match="bad row"):
         xyz.read_xyz(spark, f"file://{f}", 2).collect()
     f.write_text("X Y Z\n// note\n1 2 3\n\n4\t5\t6\n")
     assert [(r.pos, r.x) for r in xyz.read_xyz(spark, f"file://{f}").orderBy("pos").collect()] == [(0, 1.0), (1, 4.0)]
