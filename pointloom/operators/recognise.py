@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointloom.config import Settings
 from pointloom.functions import geometry as K
 from pointloom.functions.shipping import ship
 from pointloom.operators import cloud as C
@@ -156,6 +157,35 @@ def multi_slice_walls(cloud: DataFrame, by: str, low: float, high: float, slices
     return cells.groupBy(by).applyInPandas(faces, f"{by} long, x0 double, y0 double, x1 double, y1 double, slices long")
 
 
+def footprints(cloud: DataFrame, by: str) -> DataFrame:
+    """Convex outline of each storey: (by, x, y, place). Cells of 5 cm come first, so a group is bounded by its extent."""
+    cells = cloud.groupBy(by, F.floor(F.col("x") / num(0.05) + num(1e-9)).alias("i"), F.floor(F.col("y") / num(0.05) + num(1e-9)).alias("j")).agg(F.min(F.struct("x", "y")).alias("lo"), F.max(F.struct("x", "y")).alias("hi"))
+    ends = cells.select(by, F.explode(F.array("lo", "hi")).alias("p")).select(by, "p.x", "p.y")
+
+    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = K.hull(pdf[["x", "y"]].to_numpy())
+        return pd.DataFrame({by: pdf[by].iloc[0], "x": h[:, 0], "y": h[:, 1], "place": np.arange(len(h), dtype="int64")})
+
+    return ends.groupBy(by).applyInPandas(outline, f"{by} long, x double, y double, place long")
+
+
+def walls_from_faces(faces: DataFrame, outlines: DataFrame, by: str, settings: Settings = Settings()) -> DataFrame:
+    """Walls of each storey from its faces (by, x0, y0, x1, y1) and outline: (by, wall, x0, y0, x1, y1, thickness, label, faces)."""
+
+    def walls(own: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
+        columns = [by, "wall", "x0", "y0", "x1", "y1", "thickness", "label", "faces"]
+        if not len(own) or not len(border):
+            return pd.DataFrame([], columns=columns)
+        own, corners = own.sort_values(["fx0", "fy0", "fx1", "fy1"]), border.sort_values("place")[["x", "y"]].to_numpy()
+        found = K.paired_walls(own[["fx0", "fy0", "fx1", "fy1"]].to_numpy(), tuple(corners.mean(axis=0)), corners, (settings.minimum_thickness, settings.maximum_thickness), settings.minimum_wall_length, settings.assumed_thickness, settings.exterior_thickness, 3 * settings.grid)
+        rows = [(own[by].iloc[0], k, *w["start"], *w["end"], w["thickness"], w["label"], len(w["faces"])) for k, w in enumerate(found)]
+        return pd.DataFrame(rows, columns=columns)
+
+    left = faces.select(by, *[F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")])
+    right = outlines.select(F.col(by).alias("_by"), "x", "y", "place")
+    return left.groupBy(by).cogroup(right.groupBy("_by")).applyInPandas(walls, f"{by} long, wall long, x0 double, y0 double, x1 double, y1 double, thickness double, label string, faces long")
+
+
 def flights(treads: DataFrame, by: str) -> DataFrame:
     """Regular flights among tread patches (by, id, x, y, z, ax, ay, width): (by, flight, ids, steps, missing, rise, going).
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import expressions as X
+from pointloom.functions import geometry as K
+from pointloom.functions.shipping import ship
 from pointloom.operators import ordered as O
 from pointloom.operators.cloud import num
 
@@ -141,8 +144,18 @@ def wall_views(walls: DataFrame) -> DataFrame:
 
 
 def farthest_pairs(points: DataFrame, owner: str) -> DataFrame:
-    """Largest distance between two points of each (small) group."""
-    a, b = points.select(owner, F.col("rid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), points.select(owner, F.col("rid").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    """The two points (a < b) of each group that lie farthest apart; ties go to the smallest ids.
+
+    They are corners of the group's convex hull, so each batch of rows first gives up all but the corners of its own hulls.
+    """
+
+    def corners(batches):
+        for pdf in batches:
+            yield pd.concat([part[part[["x", "y"]].apply(tuple, axis=1).isin(set(map(tuple, K.hull(part[["x", "y"]].to_numpy()))))] for _, part in pdf.groupby(owner)]) if len(pdf) else pdf
+
+    places = points.groupBy(owner, "x", "y").agg(F.min("rid").alias("rid")).select(owner, "rid", "x", "y")
+    few = places.repartition(owner).mapInPandas(corners, places.schema)
+    a, b = few.select(owner, F.col("rid").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), few.select(owner, F.col("rid").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     j = a.join(b, owner).where("a < b").withColumn("d", X.length(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     return j.groupBy(owner).agg(F.max(F.struct("d", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("m")).select(owner, (-F.col("m.na")).alias("a"), (-F.col("m.nb")).alias("b"))
 
@@ -151,3 +164,6 @@ def clipped_faces(faces: DataFrame) -> DataFrame:
     """Each face cut to its interval [lo, hi] along itself; dropped where 1e-9 or less is left."""
     lo, hi = F.greatest(num(0), F.col("lo")), F.least(F.col("length"), F.col("hi"))
     return faces.withColumn("from_", lo).withColumn("to_", hi).where(hi - lo > num(1e-9))
+
+
+ship(__name__)

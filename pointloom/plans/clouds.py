@@ -221,14 +221,14 @@ def bridged_runs(spark, d):
     return O.runs(occupied(spark, d), ["scan"], "i", gap=3)
 
 
-INTERVALS_SQL = "iv AS (SELECT l_suppkey % 50 AS face, l_extendedprice / 100e0 AS lo, l_extendedprice / 100e0 + l_quantity / 40e0 AS hi FROM lineitem WHERE l_linenumber = 1)"
+INTERVALS_SQL = "iv AS (SELECT l_suppkey % 50 AS face, l_extendedprice / 100e0 AS lo, l_extendedprice / 100e0 + l_quantity / 40e0 AS hi FROM lineitem)"
 UNION_SQL = """m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY face ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM iv),
 r AS (SELECT *, sum(new) OVER (PARTITION BY face ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM m), u AS (SELECT face, min(lo) AS lo, max(hi) AS hi FROM r GROUP BY face, run)"""
 
 
 def intervals(spark, d):
     lo = F.col("l_extendedprice") / num(100)
-    return read(spark, d, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 50).alias("face"), lo.alias("lo"), (lo + F.col("l_quantity") / num(40)).alias("hi"))
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("face"), lo.alias("lo"), (lo + F.col("l_quantity") / num(40)).alias("hi"))
 
 
 @query(f"WITH {INTERVALS_SQL}, {UNION_SQL} SELECT face, lo, hi FROM u")

@@ -15,6 +15,12 @@ def room(spark):
     return O.numbered(generated_room(spark), (), "x", "y", "z", name="rid").withColumn("rid", F.col("rid").cast("long"))
 
 
+def rooms(spark, d):
+    """The room once for every hundred suppliers (at least once), as storeys of their own."""
+    number = (read(spark, d, "supplier").count() + 99) // 100
+    return room(spark).crossJoin(F.broadcast(spark.range(max(1, number)).withColumnRenamed("id", "storey")))
+
+
 @query()
 def level_peaks(spark, d):
     """Peaks of the room's heights: floor and ceiling."""
@@ -33,22 +39,29 @@ def detected_storeys(spark, d):
 
 @query()
 def point_normals(spark, d):
-    cloud = orders_cloud(spark, d).where("z < 0.6D")
-    n = R.point_normals(cloud, 0.5)
+    n = R.point_normals(orders_cloud(spark, d), 0.5)
     return n.select("rid", *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "curvature")])
 
 
 @query()
 def grown_regions(spark, d):
-    """Planar regions of one corner of the room."""
-    corner = room(spark).where("x <= 2.0 AND y <= 1.5 AND z <= 1.5")
-    return R.grown_regions(R.point_normals(corner, 0.12).withColumn("storey", F.lit(0).cast("long")), "storey").groupBy("storey", "region").agg(F.count(F.lit(1)).alias("points"))
+    """Planar regions of the room."""
+    return R.grown_regions(R.point_normals(room(spark), 0.12).withColumn("storey", F.lit(0).cast("long")), "storey").groupBy("storey", "region").agg(F.count(F.lit(1)).alias("points"))
 
 
 @query()
 def multi_slice_walls(spark, d):
-    """Faces of the room's walls and partition."""
-    return R.multi_slice_walls(room(spark).withColumn("storey", F.lit(0).cast("long")), "storey", 0.2, 2.8)
+    """Faces of the walls and partitions of a building: a room for every hundred suppliers, one storey each."""
+    return R.multi_slice_walls(rooms(spark, d), "storey", 0.2, 2.8)
+
+
+@query()
+def reconstructed_walls(spark, d):
+    """From a cloud to walls: storeys' outlines, faces by slices, faces paired to walls, in millimetres."""
+    cloud = rooms(spark, d)
+    walls = R.walls_from_faces(R.multi_slice_walls(cloud, "storey", 0.2, 2.8), R.footprints(cloud, "storey"), "storey")
+    mm = lambda c: F.round(F.col(c) * num(1e3)).cast("long").alias(f"{c}_mm")
+    return walls.select("storey", "wall", "label", "faces", *map(mm, ("x0", "y0", "x1", "y1", "thickness")))
 
 
 @query()
@@ -63,5 +76,5 @@ def tread_sequences(spark, d):
 
 @query()
 def slab_sequence(spark, d):
-    z = read(spark, d, "part").where("p_partkey <= 400").select((F.col("p_partkey") % 20).alias("building"), F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7) % 90 / num(10)).alias("bottom"), (F.col("p_size") / num(50)).alias("score"))
+    z = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 40).cast("long").alias("building"), F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 7) % 90 / num(10)).alias("bottom"), (F.col("p_size") / num(50)).alias("score"))
     return R.slab_sequence(z.withColumn("top", F.col("bottom") + num(0.3)), "building")

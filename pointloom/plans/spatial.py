@@ -14,7 +14,7 @@ from pointloom.plans.registry import query
 from pointloom.sources.tables import CLOUD_SQL, orders_cloud, read
 
 RADIUS, MARGIN = 0.3, 0.1
-FACES_SQL = """f0 AS (SELECT s_suppkey AS face, ((s_suppkey * 7) % 100) / 10e0 AS x0, ((s_suppkey * 13) % 80) / 10e0 AS y0, CASE s_suppkey % 4 WHEN 0 THEN 3e0 WHEN 1 THEN 0e0 WHEN 2 THEN 1.5e0 ELSE -2e0 END AS dx, CASE s_suppkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 2e0 WHEN 2 THEN 2e0 ELSE 1.5e0 END AS dy FROM supplier WHERE s_suppkey <= 40),
+FACES_SQL = """f0 AS (SELECT s_suppkey AS face, ((s_suppkey * 7) % 100) / 10e0 AS x0, ((s_suppkey * 13) % 80) / 10e0 AS y0, CASE s_suppkey % 4 WHEN 0 THEN 3e0 WHEN 1 THEN 0e0 WHEN 2 THEN 1.5e0 ELSE -2e0 END AS dx, CASE s_suppkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 2e0 WHEN 2 THEN 2e0 ELSE 1.5e0 END AS dy FROM supplier),
 f1 AS (SELECT face, face % 10 AS wall, x0, y0, x0 + dx AS x1, y0 + dy AS y1, 0.2e0 AS z0, 2.6e0 AS z1 FROM f0),
 f2 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length FROM f1),
 faces AS (SELECT *, (x1 - x0) / length AS ux, (y1 - y0) / length AS uy FROM f2)"""
@@ -28,7 +28,7 @@ def faces(spark, d):
     k = F.col("s_suppkey")
     step = lambda *v: F.element_at(F.array(*[num(a) for a in v]), (k % 4 + 1).cast("int"))
     x0, y0 = ((k * 7) % 100) / num(10), ((k * 13) % 80) / num(10)
-    out = read(spark, d, "supplier").where(k <= 40).select(k.alias("face"), (k % 10).alias("wall"), x0.alias("x0"), y0.alias("y0"), (x0 + step(3, 0, 1.5, -2)).alias("x1"), (y0 + step(0, 2, 2, 1.5)).alias("y1"), num(0.2).alias("z0"), num(2.6).alias("z1"))
+    out = read(spark, d, "supplier").select(k.alias("face"), (k % 10).alias("wall"), x0.alias("x0"), y0.alias("y0"), (x0 + step(3, 0, 1.5, -2)).alias("x1"), (y0 + step(0, 2, 2, 1.5)).alias("y1"), num(0.2).alias("z0"), num(2.6).alias("z1"))
     return G.with_frame(out)
 
 
@@ -110,29 +110,29 @@ def dominant_offset(spark, d):
     return E.most_common_bin(h, "face")
 
 
-@query(f"""WITH {CLOUD_SQL}, {FACES_SQL}, j AS (SELECT face, rid, z, (x - x0) * ux + (y - y0) * uy AS a, (y - y0) * ux - (x - x0) * uy AS r, length FROM cloud, faces WHERE z < 0.3e0)
+@query(f"""WITH {CLOUD_SQL}, {FACES_SQL}, j AS (SELECT face, rid, z, (x - x0) * ux + (y - y0) * uy AS a, (y - y0) * ux - (x - x0) * uy AS r, length FROM cloud, faces)
 SELECT face, rid FROM j WHERE sqrt(r * r + greatest(-a, a - length, 0e0) * greatest(-a, a - length, 0e0)) <= 0.25e0""")
 def near_segments(spark, d):
     """Points of a low slice within 0.25 m of a face's segment."""
     size, reach = 0.5, 0.25
     cells = G.small(G.face_cells(faces(spark, d), size, reach))
-    cloud = orders_cloud(spark, d).where("z < 0.3D").withColumn("cx", G.cell(F.col("x"), size)).withColumn("cy", G.cell(F.col("y"), size))
+    cloud = orders_cloud(spark, d).withColumn("cx", G.cell(F.col("x"), size)).withColumn("cy", G.cell(F.col("y"), size))
     return cloud.join(cells, ["cx", "cy"]).where(G.segment_distance(F.col("x"), F.col("y")) <= num(reach)).select("face", "rid")
 
 
-LOW_SQL = f"{CLOUD_SQL}, low AS (SELECT * FROM cloud WHERE z < 0.6e0)"
+LOW_SQL = f"{CLOUD_SQL}, low AS (SELECT * FROM cloud)"
 
 
 @query(f"WITH {LOW_SQL} SELECT a.rid, count(*) AS n FROM low a JOIN low b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0625e0 AND abs(a.x - b.x) <= 0.25e0 GROUP BY a.rid")
 def radius_neighbours(spark, d):
-    return G.neighbour_counts(orders_cloud(spark, d).where("z < 0.6D"), 0.25)
+    return G.neighbour_counts(orders_cloud(spark, d), 0.25)
 
 
 @query(f"""WITH {LOW_SQL}, p AS (SELECT a.rid, b.rid AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM low a JOIN low b ON a.rid <> b.rid AND abs(a.x - b.x) <= 0.3e0)
 SELECT rid, CAST(k AS INTEGER) AS k, neighbour FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d2, neighbour) AS k FROM p WHERE d2 <= 0.3e0 * 0.3e0) WHERE k <= 6""")
 def knn(spark, d):
     """Six nearest others within 0.3 m."""
-    return G.nearest_k(orders_cloud(spark, d).where("z < 0.6D"), 6, 0.3)
+    return G.nearest_k(orders_cloud(spark, d), 6, 0.3)
 
 
 @query(f"WITH {CLOUD_SQL} SELECT rid, z FROM cloud a WHERE z > 2.8e0 AND EXISTS (SELECT 1 FROM cloud b WHERE b.z < 0.2e0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.15e0 * 0.15e0)")
@@ -151,14 +151,14 @@ def tile_halo(spark, d):
 
 # --- rasters ---------------------------------------------------------------------------------------
 
-MASK_SQL = f"{CLOUD_SQL}, mask AS (SELECT DISTINCT scan AS grp, CAST(floor(x / 0.25e0 + 1e-9) AS BIGINT) AS ix, CAST(floor(y / 0.25e0 + 1e-9) AS BIGINT) AS iy FROM cloud WHERE z < 0.9e0)"
+MASK_SQL = f"{CLOUD_SQL}, mask AS (SELECT DISTINCT scan AS grp, CAST(floor(x / 0.25e0 + 1e-9) AS BIGINT) AS ix, CAST(floor(y / 0.25e0 + 1e-9) AS BIGINT) AS iy FROM cloud)"
 OFFSETS_SQL = "o AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b))"
 DILATED_SQL = f"{OFFSETS_SQL}, dl AS (SELECT DISTINCT grp, ix + a AS ix, iy + b AS iy FROM mask, o)"
 
 
 def mask(spark, d):
     bin_ = lambda c: F.floor(F.col(c) / num(0.25) + num(1e-9)).cast("long")
-    return orders_cloud(spark, d).where("z < 0.9D").select(F.col("scan").alias("grp"), bin_("x").alias("ix"), bin_("y").alias("iy")).distinct()
+    return orders_cloud(spark, d).select(F.col("scan").alias("grp"), bin_("x").alias("ix"), bin_("y").alias("iy")).distinct()
 
 
 @query(f"WITH {MASK_SQL} SELECT grp, count(*) AS cells FROM mask GROUP BY grp")
@@ -190,12 +190,17 @@ def close_mask(spark, d):
 
 
 COMPONENTS_SQL = """RECURSIVE reach(grp, ix, iy, k) AS (SELECT grp, ix, iy, (grp * 1048576 + ix) * 1048576 + iy FROM small UNION SELECT s.grp, s.ix, s.iy, r.k FROM reach r JOIN small s ON s.grp = r.grp AND abs(s.ix - r.ix) <= 1 AND abs(s.iy - r.iy) <= 1)"""
-SMALL_SQL = f"{CLOUD_SQL}, small AS (SELECT DISTINCT scan AS grp, CAST(floor(x / 0.25e0 + 1e-9) AS BIGINT) AS ix, CAST(floor(y / 0.25e0 + 1e-9) AS BIGINT) AS iy FROM cloud WHERE z < 0.4e0)"
+SMALL_SQL = f"{CLOUD_SQL}, small AS (SELECT DISTINCT scan AS grp, CAST(floor(x / 0.1e0 + 1e-9) AS BIGINT) AS ix, CAST(floor(y / 0.1e0 + 1e-9) AS BIGINT) AS iy FROM cloud)"
 
 
 def small_mask(spark, d):
+    bin_ = lambda c: F.floor(F.col(c) / num(0.1) + num(1e-9)).cast("long")
+    return orders_cloud(spark, d).select(F.col("scan").alias("grp"), bin_("x").alias("ix"), bin_("y").alias("iy")).distinct()
+
+
+def layered_mask(spark, d):
     bin_ = lambda c: F.floor(F.col(c) / num(0.25) + num(1e-9)).cast("long")
-    return orders_cloud(spark, d).where("z < 0.4D").select(F.col("scan").alias("grp"), bin_("x").alias("ix"), bin_("y").alias("iy")).distinct()
+    return orders_cloud(spark, d).select((F.col("scan") * 8 + F.floor(F.col("z") / num(0.4))).cast("long").alias("grp"), bin_("x").alias("ix"), bin_("y").alias("iy")).distinct()
 
 
 @query(f"WITH RECURSIVE {SMALL_SQL}, {COMPONENTS_SQL.removeprefix('RECURSIVE ')} SELECT grp, ix, iy, min(k) AS component FROM reach GROUP BY ALL")
@@ -228,16 +233,10 @@ def strip_support(spark, d):
     return R.strip_support(strips(spark, d), mask(spark, d))
 
 
-VOID_SQL = f"""{SMALL_SQL}, frame AS (SELECT grp, unnest(generate_series(0, 39)) AS ix FROM (SELECT DISTINCT grp FROM small)), every AS (SELECT grp, ix, unnest(generate_series(0, 31)) AS iy FROM frame),
-fill AS (SELECT DISTINCT grp, ix + a AS ix, iy + b AS iy FROM small, (SELECT unnest([-2, -1, 0, 1, 2]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS b)), missing AS (SELECT * FROM every ANTI JOIN fill USING (grp, ix, iy)),
-reach(grp, ix, iy, k) AS (SELECT grp, ix, iy, (grp * 1048576 + ix) * 1048576 + iy FROM missing UNION SELECT s.grp, s.ix, s.iy, r.k FROM reach r JOIN missing s ON s.grp = r.grp AND abs(s.ix - r.ix) <= 1 AND abs(s.iy - r.iy) <= 1),
-l AS (SELECT grp, ix, iy, min(k) AS component FROM reach GROUP BY ALL), b AS (SELECT grp, component, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1, count(*) AS area FROM l GROUP BY ALL)"""
-
-
-@query(f"WITH RECURSIVE {VOID_SQL} SELECT grp, component, x0, x1, y0, y1, area FROM b WHERE x1 - x0 + 1 BETWEEN 2 AND 12 AND y1 - y0 + 1 BETWEEN 2 AND 12 AND x0 > 0 AND x1 < 39 AND y1 < 31")
+@query()
 def void_candidates(spark, d):
-    """Bounded empty components of wall rasters."""
-    m = small_mask(spark, d)
+    """Bounded empty components of the rasters of each scan, a raster for every 0.4 m of height."""
+    m = layered_mask(spark, d)
     steps = F.sequence(F.lit(-2), F.lit(2))
     filled = m.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps)).select("grp", (F.col("ix") + F.col("a")).alias("ix"), (F.col("iy") + F.col("b")).alias("iy")).distinct()
     frames = m.select("grp").distinct().select("grp", F.lit(0).cast("long").alias("x0"), F.lit(39).cast("long").alias("x1"), F.lit(0).cast("long").alias("y0"), F.lit(31).cast("long").alias("y1"))
@@ -271,7 +270,7 @@ def mullion_parts(spark, d):
 
 # --- clusters and graphs -----------------------------------------------------------------------------
 
-DB_SQL = f"""{CLOUD_SQL}, p AS (SELECT rid, x, y FROM cloud WHERE z < 0.3e0), n AS (SELECT a.rid AS a, b.rid AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1e0 * 0.1e0),
+DB_SQL = f"""{CLOUD_SQL}, p AS (SELECT rid, x, y FROM cloud), n AS (SELECT a.rid AS a, b.rid AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02e0 * 0.02e0 AND abs(a.x - b.x) <= 0.02e0),
 core AS (SELECT a FROM n GROUP BY a HAVING count(*) >= 3), ce AS (SELECT n.a, n.b FROM n WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
 reach(a, k) AS (SELECT a, a FROM core UNION SELECT ce.b, r.k FROM reach r JOIN ce ON ce.a = r.a), cc AS (SELECT a, min(k) AS cluster FROM reach GROUP BY a),
 bd AS (SELECT n.a, min(cc.cluster) AS cluster FROM n JOIN cc ON n.b = cc.a WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a), al AS (SELECT a AS rid, cluster, true AS core FROM cc UNION ALL SELECT a, cluster, false FROM bd)"""
@@ -279,16 +278,16 @@ bd AS (SELECT n.a, min(cc.cluster) AS cluster FROM n JOIN cc ON n.b = cc.a WHERE
 
 @query(f"WITH RECURSIVE {DB_SQL} SELECT rid, cluster, core FROM al WHERE cluster IN (SELECT cluster FROM al GROUP BY cluster HAVING count(*) >= 3)")
 def dbscan(spark, d):
-    return K.dbscan(orders_cloud(spark, d).where("z < 0.3D"), 0.1, 3)
+    return K.dbscan(orders_cloud(spark, d), 0.02, 3)
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT c_custkey AS stair, (c_custkey * 7 + c_nationkey) % 400 AS landing FROM customer WHERE c_custkey % 3 <> 0), e AS (SELECT DISTINCT a.stair AS a, b.stair AS b FROM l a JOIN l b USING (landing)),
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT c_custkey AS stair, (c_custkey * 7 + c_nationkey) % 400 AS landing FROM customer), e AS (SELECT DISTINCT a.stair AS a, b.stair AS b FROM l a JOIN l b USING (landing)),
 reach(a, k) AS (SELECT a, a FROM e UNION SELECT e.b, r.k FROM reach r JOIN e ON e.a = r.a), s AS (SELECT a AS stair, min(k) AS system FROM reach GROUP BY a), h AS (SELECT system, count(DISTINCT landing) AS hubs FROM s JOIN l USING (stair) GROUP BY system)
 SELECT stair, system, hubs FROM s JOIN h USING (system)""")
 def stair_systems(spark, d):
     """Flights joined through shared landings."""
     c = F.col("c_custkey")
-    links = read(spark, d, "customer").where(c % 3 != 0).select(c.alias("stair"), ((c * 7 + F.col("c_nationkey")) % 400).alias("landing")).distinct()
+    links = read(spark, d, "customer").select(c.alias("stair"), ((c * 7 + F.col("c_nationkey")) % 400).alias("landing")).distinct()
     return K.systems(links, "stair", "landing")
 
 

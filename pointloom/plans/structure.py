@@ -125,12 +125,12 @@ def convergence(spark, d):
     return T.converged(read(spark, d, "supplier").select(c("s_nationkey").alias("case"), k.alias("run"), ((k * 7) % 20 / num(1000)).alias("change")), 0.01)
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, p_size % 8 AS grp, ((p_partkey * 7) % 100) * 0.1e0 AS z, (p_partkey % 5) * 1e0 AS x0, (p_partkey % 5) * 1e0 + 4e0 AS x1, 0e0 AS y0, 3e0 AS y1 FROM part WHERE p_partkey <= 600)
+@query("""WITH f AS (SELECT p_partkey AS id, p_size % 8 AS grp, ((p_partkey * 7) % 100) * 0.1e0 AS z, (p_partkey % 5) * 1e0 AS x0, (p_partkey % 5) * 1e0 + 4e0 AS x1, 0e0 AS y0, 3e0 AS y1 FROM part)
 SELECT a.id AS lower, b.id AS upper FROM f a JOIN f b ON a.grp = b.grp AND b.z - a.z BETWEEN 0.08e0 AND 0.6e0 AND greatest(0e0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0e0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.45e0""")
 def slab_zone_pairs(spark, d):
     """Lower and upper faces that may bound one slab."""
     k = c("p_partkey")
-    f = read(spark, d, "part").where(k <= 600).select(k.alias("id"), (c("p_size") % 8).alias("grp"), (((k * 7) % 100) * num(0.1)).alias("z"), ((k % 5) * num(1)).alias("x0"), ((k % 5) * num(1) + num(4)).alias("x1"), num(0).alias("y0"), num(3).alias("y1"))
+    f = read(spark, d, "part").select(k.alias("id"), (c("p_size") % 8).alias("grp"), (((k * 7) % 100) * num(0.1)).alias("z"), ((k % 5) * num(1)).alias("x0"), ((k % 5) * num(1) + num(4)).alias("x1"), num(0).alias("y0"), num(3).alias("y1"))
     return T.zone_pairs(f, 0.08, 0.6, 0.45)
 
 
@@ -144,12 +144,12 @@ def wall_profiles(spark, d):
     return T.profile_envelope(near(spark, d), 0.2, 2, 0.6)
 
 
-@query(f"""WITH {CLOUD_SQL}, q AS (SELECT scan, z, CAST(round(x * 1e3) AS BIGINT) AS x, CAST(round(y * 1e3) AS BIGINT) AS y FROM cloud WHERE z < 1e0), s AS (SELECT scan, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(x * y)::BIGINT AS sxy, sum(y * y)::BIGINT AS syy, max(z) - min(z) AS h FROM q GROUP BY scan),
+@query(f"""WITH {CLOUD_SQL}, q AS (SELECT scan, z, CAST(round(x * 1e3) AS BIGINT) AS x, CAST(round(y * 1e3) AS BIGINT) AS y FROM cloud), s AS (SELECT scan, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx, sum(x * y)::BIGINT AS sxy, sum(y * y)::BIGINT AS syy, max(z) - min(z) AS h FROM q GROUP BY scan),
 v AS (SELECT scan, n, h, sxx / n::DOUBLE - (sx / n::DOUBLE) * (sx / n::DOUBLE) AS a, sxy / n::DOUBLE - (sx / n::DOUBLE) * (sy / n::DOUBLE) AS b, syy / n::DOUBLE - (sy / n::DOUBLE) * (sy / n::DOUBLE) AS c FROM s)
 SELECT scan, n, CASE WHEN h >= 0.4e0 THEN CAST(round(sqrt(greatest((a + c) / 2e0 + sqrt((a - c) * (a - c) / 4e0 + b * b), 0e0))) AS BIGINT) END AS long_mm, CASE WHEN h >= 0.4e0 THEN CAST(round(sqrt(greatest((a + c) / 2e0 - sqrt((a - c) * (a - c) / 4e0 + b * b), 0e0))) AS BIGINT) END AS short_mm FROM v""")
 def column_envelopes(spark, d):
     """Principal spread of each component in the plan."""
-    return T.column_envelopes(orders_cloud(spark, d).where("z < 1D"), "scan", 0.4)
+    return T.column_envelopes(orders_cloud(spark, d), "scan", 0.4)
 
 
 @query("""WITH w AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 0.1e0 END AS l, CASE WHEN s_suppkey % 2 = 0 THEN -0.12e0 END AS r, 0.25e0 AS t FROM supplier), v AS (SELECT id, unnest([1, -1]) AS side, unnest([l, r]) AS own, unnest([r, l]) AS opp, t FROM w)
@@ -160,9 +160,9 @@ def wall_views(spark, d):
     return T.wall_views(read(spark, d, "supplier").select(k.alias("id"), F.when(k % 3 == 0, num(0.1)).alias("left_offset"), F.when(k % 2 == 0, num(-0.12)).alias("right_offset"), num(0.25).alias("thickness")))
 
 
-@query(f"""WITH {CLOUD_SQL}, p AS (SELECT rid % 200 AS grp, rid, x, y FROM cloud WHERE z < 0.2e0), j AS (SELECT grp, a.rid AS a, b.rid AS b, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b USING (grp) WHERE a.rid < b.rid) SELECT grp, a, b FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d DESC, a, b) AS k FROM j) WHERE k = 1""")
+@query(f"""WITH {CLOUD_SQL}, p AS (SELECT rid % 200 AS grp, rid, x, y FROM cloud), j AS (SELECT grp, a.rid AS a, b.rid AS b, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b USING (grp) WHERE a.rid < b.rid) SELECT grp, a, b FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d DESC, a, b) AS k FROM j) WHERE k = 1""")
 def farthest_pairs(spark, d):
-    return T.farthest_pairs(orders_cloud(spark, d).where("z < 0.2D").select((c("rid") % 200).alias("grp"), "rid", "x", "y"), "grp")
+    return T.farthest_pairs(orders_cloud(spark, d).select((c("rid") % 200).alias("grp"), "rid", "x", "y"), "grp")
 
 
 @query("""WITH f AS (SELECT c_custkey AS id, 4e0 AS length, (c_custkey % 30) * 0.2e0 - 1e0 AS lo, (c_custkey % 17) * 0.3e0 AS hi FROM customer) SELECT id, CAST(round(greatest(0e0, lo) * 1e6) AS BIGINT) AS from_micro, CAST(round(least(length, hi) * 1e6) AS BIGINT) AS to_micro FROM f WHERE least(length, hi) - greatest(0e0, lo) > 1e-9""")

@@ -3,6 +3,7 @@
 import pandas as pd
 import pytest
 from helpers import spark_rows
+from pyspark.sql import functions as F
 
 from pointloom.functions.shipping import ship
 from pointloom.operators import cluster, grid, providers, quality
@@ -94,3 +95,60 @@ def test_proposals_are_cached_checked_and_fall_back(spark, tmp_path, sf):
         providers.propose(cloud, Wrong([(0, 0, 0, 1, 0, 1, 0, 1)]), store)
     with pytest.raises(ValueError, match="twice"):
         providers.propose(cloud.unionByName(cloud.limit(1)), provider, store)
+
+
+def test_voids_against_a_flood_fill(spark):
+    from pointloom.plans.spatial import layered_mask, void_candidates
+
+    sf, want = "/root/testdata/sf0.01", []
+    rasters: dict = {}
+    for r in layered_mask(spark, sf).collect():
+        rasters.setdefault(r.grp, set()).update((r.ix + a, r.iy + b) for a in range(-2, 3) for b in range(-2, 3))
+    for grp, filled in rasters.items():
+        empty = {(x, y) for x in range(40) for y in range(32)} - filled
+        while empty:
+            todo, part = [empty.pop()], set()
+            while todo:
+                x, y = todo.pop()
+                part.add((x, y))
+                beside = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & empty
+                empty -= beside
+                todo += beside
+            xs, ys = [x for x, _ in part], [y for _, y in part]
+            if 2 <= max(xs) - min(xs) + 1 <= 12 and 2 <= max(ys) - min(ys) + 1 <= 12 and min(xs) > 0 and max(xs) < 39 and max(ys) < 31:
+                want.append((grp, min(xs), max(xs), min(ys), max(ys), len(part)))
+    got = [(r.grp, r.x0, r.x1, r.y0, r.y1, r.area) for r in void_candidates(spark, sf).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_rules_of_crops_and_poses():
+    from pointloom.operators import cloud as C
+
+    C.checked_crop([(0, 0), (4, 0), (4, 3), (0, 3)], 0, 1)
+    for bad in ([(0, 0), (1, 1)], [(0, 0), (4, 0), (0, 3), (4, 3)], [(0, 0), (4, 0), (2, 0), (2, 3)], [(0, 0), (0, 0), (1, 1)], [(0, 0), (float("nan"), 0), (1, 1)]):
+        with pytest.raises(ValueError):
+            C.checked_crop(bad, 0, 1)
+    with pytest.raises(ValueError):
+        C.checked_crop([(0, 0), (4, 0), (4, 3)], 1, 1)
+    r = C.rotation(1 + 5e-7, 0, 0, 0)
+    assert r == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+
+
+def test_points_on_long_edges_and_empty_crops(spark):
+    from pointloom.operators import cloud as C
+
+    square = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1.0), (0.0, 1.0)]
+    points = spark.createDataFrame([(1, 500.0, 0.0), (2, 500.0, -5e-11), (3, 500.0, -9e-8), (4, 1000.0, 0.5)], "rid long, x double, y double").selectExpr("*", "1D AS z")
+    assert sorted(r.rid for r in C.cropped(points, square, 0, 2).collect()) == [1, 2, 4]  # the tolerance does not grow with the edge
+    with pytest.raises(ValueError):
+        C.not_empty(C.cropped(points, square, 5, 6))
+
+
+def test_name_based_ids(spark):
+    import uuid
+
+    from pointloom.operators.relations import uuid5
+
+    names = ["wall-1", "", "Tür 7"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(uuid5(uuid.NAMESPACE_URL.hex, F.col("n"))).collect()]
+    assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]

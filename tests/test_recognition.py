@@ -42,3 +42,13 @@ def test_flights_of_the_query(spark, sf):
 
     rows = tread_sequences(spark, sf).collect()
     assert {r.steps for r in rows} == {8} and all(r.missing == (r.grp % 3 == 0) for r in rows)
+
+
+def test_walls_of_the_room(spark, sf):
+    from pointloom.plans.recognition import reconstructed_walls
+
+    rows = reconstructed_walls(spark, sf).where("storey = 0").collect()
+    (pair,) = [r for r in rows if r.label == "paired_faces"]
+    assert abs(pair.thickness_mm - 200) <= 60 and abs((pair.x0_mm + pair.x1_mm) / 2 - 3000) <= 60 and abs(abs(pair.y1_mm - pair.y0_mm) - 4000) <= 200
+    outside = [r for r in rows if r.label == "exterior_candidate"]
+    assert len(outside) == 4 and {r.thickness_mm for r in outside} == {300} and len(rows) <= 6
