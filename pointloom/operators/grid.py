@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.cloud import num
+from pointloom.sources.tables import kept
 
 #: Elements up to this many cell rows are broadcast; beyond, the join shuffles and adaptive execution splits dense cells.
 BROADCAST_CELLS = 1_000_000
@@ -77,6 +78,9 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str
         base = cell(F.col(f"a_{c}"), radius)
         a = a.withColumn(f"c{c}", F.explode(F.sequence(base - 1, base + 1)))
         b = b.withColumn(f"c{c}", cell(F.col(f"b_{c}"), radius))
+    # Of the cells around a point, only those that its ball reaches (a millionth of a cell is left for rounding).
+    gaps = [F.greatest(num(0), F.col(f"c{c}") * num(radius) - F.col(f"a_{c}"), F.col(f"a_{c}") - (F.col(f"c{c}") + 1) * num(radius)) for c in axes]
+    a = a.where(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) <= num(radius * radius * (1 + 1e-6)))
     on = [a[f"c{c}"] == b[f"c{c}"] for c in axes] + [F.col(f"a_{c}") == F.col(f"b_{c}") for c in equal]
     pairs = a.join(b, on)
     d2 = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in axes[1:]), (F.col(f"a_{axes[0]}") - F.col(f"b_{axes[0]}")) * (F.col(f"a_{axes[0]}") - F.col(f"b_{axes[0]}")))
@@ -84,11 +88,20 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius: float, axes: str
 
 
 def nearest_k(cloud: DataFrame, k: int, radius: float) -> DataFrame:
-    """(rid, k, neighbour): nearest others within ``radius``, ties to the lower id. Ranking limits partitions before they shuffle."""
+    """(rid, k, neighbour): nearest others within ``radius``, ties to the lower id. Ranking limits partitions before they shuffle.
+
+    A point with ``k`` others within half the radius needs no more; only the rest, where the cloud is thin, search the whole radius.
+    """
     light = cloud.select("rid", "x", "y", "z")
-    pairs = neighbour_pairs(light, light, radius).where("a_rid <> b_rid")
     order = Window.partitionBy("a_rid").orderBy("d2", "b_rid")
-    return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select(F.col("a_rid").alias("rid"), "k", F.col("b_rid").alias("neighbour"))
+
+    def within(left: DataFrame, reach: float) -> DataFrame:
+        pairs = neighbour_pairs(left, light, reach).where("a_rid <> b_rid")
+        return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select(F.col("a_rid").alias("rid"), "k", F.col("b_rid").alias("neighbour"))
+
+    close = kept(within(light, radius / 2))
+    done = close.where(F.col("k") == k).select("rid")
+    return close.join(done, "rid", "left_semi").unionByName(within(light.join(done, "rid", "left_anti"), radius))
 
 
 def neighbour_counts(cloud: DataFrame, radius: float, most: int | None = None) -> DataFrame:
