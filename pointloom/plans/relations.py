@@ -136,11 +136,11 @@ def edited_elements(spark, d):
     return R.edited(rows, edits)
 
 
-@query("""WITH s AS (SELECT DISTINCT c_nationkey AS grp, c_custkey % 23 AS n FROM customer WHERE c_custkey % 23 >= 1 AND c_custkey % 7 <> 3), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n) AS k FROM s), a AS (SELECT DISTINCT c_nationkey AS grp FROM customer WHERE c_custkey % 7 <> 3)
+@query("""WITH s AS (SELECT DISTINCT c_nationkey AS grp, c_custkey % 23 AS n FROM customer WHERE c_custkey % 23 >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n) AS k FROM s), a AS (SELECT DISTINCT c_nationkey AS grp FROM customer)
 SELECT grp, coalesce((SELECT count(*) FILTER (n = k) FROM k WHERE k.grp = a.grp), 0) + 1 AS free FROM a""")
 def first_free_numbers(spark, d):
     """The first number that a group's elements leave free."""
-    rows = read(spark, d, "customer").where("c_custkey % 7 <> 3").select(c("c_nationkey").alias("grp"), (c("c_custkey") % 23).alias("n"))
+    rows = read(spark, d, "customer").select(c("c_nationkey").alias("grp"), (c("c_custkey") % 23).alias("n"))
     return R.first_free(rows, "grp", "n")
 
 
@@ -151,11 +151,11 @@ def intact_window_groups(spark, d):
     return R.intact_groups(m, m.where("id % 37 = 0").select("id"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS id, unnest([o_orderkey % 5000, o_custkey, o_orderkey % 13]) AS r FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT s_suppkey AS wall, unnest([s_suppkey * 3, s_suppkey * 5 + 20]) AS r FROM supplier) SELECT DISTINCT id, wall FROM a JOIN b USING (r)""")
+@query("""WITH a AS (SELECT o_orderkey AS id, unnest([o_orderkey % 5000, o_custkey, o_orderkey % 13]) AS r FROM orders), b AS (SELECT s_suppkey AS wall, unnest([s_suppkey * 3, s_suppkey * 5 + 20]) AS r FROM supplier) SELECT DISTINCT id, wall FROM a JOIN b USING (r)""")
 def column_sources(spark, d):
     """Column components and walls that rest on a common record."""
     k, s = c("o_orderkey"), c("s_suppkey")
-    a = read(spark, d, "orders").where("o_orderkey % 3 = 0").select(k.alias("id"), F.array(k % 5000, c("o_custkey"), k % 13).alias("rows"))
+    a = read(spark, d, "orders").select(k.alias("id"), F.array(k % 5000, c("o_custkey"), k % 13).alias("rows"))
     return R.shared_sources(a, read(spark, d, "supplier").select(s.alias("wall"), F.array(s * 3, s * 5 + 20).alias("rows")))
 
 
@@ -207,7 +207,7 @@ def geometry_violations(spark, d):
 
 
 MANIFEST_SQL = """k AS (SELECT c_custkey - c_custkey % 2 * (CASE WHEN c_custkey % 20 = 1 THEN 1 ELSE 0 END) AS "case", ['development', 'held_out', 'other'][CASE WHEN c_custkey % 17 = 0 THEN 3 ELSE c_custkey % 2 + 1 END] AS split, c_custkey % 400 AS truth, CASE WHEN c_custkey % 13 = 0 THEN 'none' ELSE repeat(md5(c_custkey::VARCHAR), 2) END AS digest FROM customer),
-g AS (SELECT o_custkey AS "case", 'recall' AS metric, ['<=', '>=', '='][o_orderkey % 3 + 1] AS operator, CASE WHEN o_orderkey % 41 = 0 THEN 'Infinity'::DOUBLE ELSE o_orderkey / 10e0 END AS value FROM orders WHERE o_orderkey % 2 = 0)"""
+g AS (SELECT o_custkey AS "case", 'recall' AS metric, ['<=', '>=', '='][o_orderkey % 3 + 1] AS operator, CASE WHEN o_orderkey % 41 = 0 THEN 'Infinity'::DOUBLE ELSE o_orderkey / 10e0 END AS value FROM orders)"""
 
 
 @query(f"""WITH {MANIFEST_SQL} SELECT "case", 'duplicate case' AS rule FROM k GROUP BY "case" HAVING count(*) > 1 UNION SELECT "case", 'unknown split' FROM k WHERE split NOT IN ('development', 'held_out') UNION SELECT "case", 'bad digest' FROM k WHERE NOT regexp_matches(digest, '^[0-9a-f]{{64}}$')
@@ -218,7 +218,7 @@ def manifest_violations(spark, d):
     k, o = c("c_custkey"), c("o_orderkey")
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int"))
     cases = read(spark, d, "customer").select((k - F.when(k % 20 == 1, k % 2).otherwise(0)).alias("case"), pick(("development", "held_out", "other"), F.when(k % 17 == 0, 3).otherwise(k % 2 + 1)).alias("split"), (k % 400).alias("truth"), F.when(k % 13 == 0, "none").otherwise(F.repeat(F.md5(k.cast("string")), 2)).alias("truth_digest"))
-    gates = read(spark, d, "orders").where("o_orderkey % 2 = 0").select(c("o_custkey").alias("case"), F.lit("recall").alias("metric"), pick(("<=", ">=", "="), o % 3 + 1).alias("operator"), F.when(o % 41 == 0, num(float("inf"))).otherwise(o / num(10)).alias("value"))
+    gates = read(spark, d, "orders").select(c("o_custkey").alias("case"), F.lit("recall").alias("metric"), pick(("<=", ">=", "="), o % 3 + 1).alias("operator"), F.when(o % 41 == 0, num(float("inf"))).otherwise(o / num(10)).alias("value"))
     return R.manifest_violations(cases, gates)
 
 
