@@ -33,16 +33,22 @@ def closed(mask: DataFrame, reach: int = 1) -> DataFrame:
     return eroded(dilated(mask, reach), reach)
 
 
-def labelled(mask: DataFrame, columns: int = 1 << 20) -> DataFrame:
-    """Components over eight neighbours: (grp, ix, iy, component), named by the smallest cell key (grp, ix, iy)."""
-    key = (F.col("grp") * columns + F.col("ix")) * columns + F.col("iy")
-    cells = mask.distinct().withColumn("k", key)
-    # Half of the neighbourhood is enough: every edge is seen from one side.
-    half = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    out = cells.withColumn("_s", F.explode(half)).select("grp", F.col("k").alias("a"), (F.col("ix") + F.col("_s.a")).alias("ix"), (F.col("iy") + F.col("_s.b")).alias("iy"))
-    edges = out.join(cells.select("grp", "ix", "iy", F.col("k").alias("b")), ["grp", "ix", "iy"]).select("a", "b")
-    every = edges.unionByName(cells.select(F.col("k").alias("a"), F.col("k").alias("b")))
-    return cells.join(connected_components(every), F.col("k") == F.col("node")).select("grp", "ix", "iy", "component")
+def labelled(mask: DataFrame, columns: int = 1 << 20, block: int = 64) -> DataFrame:
+    """Components over eight neighbours: (grp, ix, iy, component), named by the smallest cell key (grp, ix, iy).
+
+    Cells of one ``ix`` that follow each other are one node, so that the graph has runs instead of cells. Runs of neighbouring ``ix``
+    meet by blocks of ``iy``, so a long row of many runs does not meet itself whole.
+    """
+    key = (F.col("grp") * columns + F.col("ix")) * columns + F.col("start")
+    runs = O.runs(mask.select("grp", "ix", "iy").distinct(), ["grp", "ix"], "iy").select("grp", "ix", "start", "end", key.alias("k"))
+    spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block)))
+    left = runs.select("grp", (F.col("ix") + 1).alias("ix"), (F.col("start") - 1).alias("lo"), (F.col("end") + 1).alias("hi"), F.col("k").alias("a"))
+    left = left.withColumn("block", spread(F.col("lo"), F.col("hi")))
+    right = runs.select("grp", "ix", "start", "end", F.col("k").alias("b")).withColumn("block", spread(F.col("start"), F.col("end")))
+    edges = left.join(right, ["grp", "ix", "block"]).where("start <= hi AND end >= lo").select("a", "b")
+    every = edges.unionByName(runs.select(F.col("k").alias("a"), F.col("k").alias("b")))
+    found = runs.join(connected_components(every), F.col("k") == F.col("node"))
+    return found.select("grp", "ix", F.explode(F.sequence("start", "end")).alias("iy"), "component")
 
 
 def boxes(labels: DataFrame) -> DataFrame:

@@ -90,10 +90,10 @@ def merged_walls(walls: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.groupBy("group").agg(F.min("storey").alias("storey"), F.count(F.lit(1)).alias("members"), F.min(F.least(*ends)).alias("from_mm"), F.max(F.greatest(*ends)).alias("to_mm")).withColumnRenamed("group", "id")
 
 
-def corner_clusters(ends: DataFrame, reach: float) -> DataFrame:
-    """Wall ends of one storey (storey, wall, end, x, y) that lie within ``reach`` are one corner, at the mean of its ends.
+def corner_members(ends: DataFrame, reach: float) -> DataFrame:
+    """Wall ends (storey, wall, end, x, y) with their node (wall * 2 + end) and corner, for those that meet another within ``reach``.
 
-    Ends meet in cells of side ``reach``. Returns (storey, corner, ends, x and y in millimetres, moved: the farthest end in millimetres).
+    Ends meet in cells of side ``reach``; a corner is named by its smallest node.
     """
     keyed = ends.withColumn("node", (c("wall") * 2 + c("end")).cast("long"))
     at = lambda v: F.floor(c(v) / num(reach)).cast("long")
@@ -102,7 +102,15 @@ def corner_clusters(ends: DataFrame, reach: float) -> DataFrame:
     b = keyed.select("storey", c("node").alias("b"), c("x").alias("bx"), c("y").alias("by"), at("x").alias("cx"), at("y").alias("cy"))
     pairs = a.join(b, ["storey", "cx", "cy"]).where("a < b").where(X.length(c("ax"), c("ay"), c("bx"), c("by")) <= num(reach))
     group = connected_components(pairs.select("a", "b"))
-    named = keyed.join(group, "node").withColumnRenamed("component", "corner")
+    return keyed.join(group, "node").withColumnRenamed("component", "corner")
+
+
+def corner_clusters(ends: DataFrame, reach: float) -> DataFrame:
+    """Wall ends of one storey that lie within ``reach`` are one corner, at the mean of its ends.
+
+    Returns (storey, corner, ends, x and y in millimetres, moved: the farthest end in millimetres).
+    """
+    named = corner_members(ends, reach)
     mm = lambda v: F.round(c(v) * num(1e3)).cast("long")
     mean = named.groupBy("storey", "corner").agg(F.count(F.lit(1)).alias("ends"), *[F.round(F.sum(mm(v)) / F.count(F.lit(1))).cast("long").alias(f"{v}_mm") for v in "xy"])
     drift = named.join(mean, ["storey", "corner"]).groupBy("storey", "corner").agg(F.max(F.round(F.sqrt(F.pow(mm("x") - c("x_mm"), 2) + F.pow(mm("y") - c("y_mm"), 2))).cast("long")).alias("moved_mm"))
