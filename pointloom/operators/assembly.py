@@ -43,6 +43,7 @@ def detected_openings(mask: DataFrame, walls: DataFrame, cell: float) -> DataFra
     f = frames.select("grp", "wall", "plane", "height", c("x1").alias("fx"), c("y1").alias("fy"))
     found = empty.join(f, "grp").where((c("x0") > 0) & (c("x1") < c("fx")) & (c("y1") < c("fy")))
     found = found.select("grp", "wall", "plane", "height", "component", (c("x0") - 1).alias("x0"), (c("x1") + 1).alias("x1"), F.greatest(c("y0") - 1, F.lit(0)).alias("y0"), (c("y1") + 1).alias("y1"))
+    found = kept(found)  # few rows, read several times below
     edge = lambda part, *at: F.struct(F.lit(part).alias("part"), *[v.cast("long").alias(n) for n, v in zip(("x0", "x1", "y0", "y1"), at)])
     strips = F.array(
         edge("self", c("x0"), c("x1"), c("y0"), c("y1")), edge("sill", c("x0"), c("x1"), c("y0") - 1, c("y0") - 1), edge("head", c("x0"), c("x1"), c("y1") + 1, c("y1") + 1),
