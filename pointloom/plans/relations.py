@@ -74,14 +74,13 @@ def walls(spark, d):
     )
 
 
-def pairs(spark, d):
-    return R.wall_pairs(walls(spark, d), 2.0, 0.08, 0.35, 0.06)
+LIMITS = (2.0, 0.08, 0.35, 0.06)
 
 
 @query(f"WITH {WALL_SQL}, {PAIR_SQL} SELECT a, b FROM pairs")
 def wall_pairs(spark, d):
     """Walls of one storey that may be parts of one."""
-    return pairs(spark, d)
+    return R.wall_pairs(walls(spark, d), *LIMITS)
 
 
 @query(f"""WITH RECURSIVE {WALL_SQL}, {PAIR_SQL}, e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), r(n, k) AS (SELECT id, id FROM w UNION SELECT e.b, r.k FROM r JOIN e ON e.a = r.n), g AS (SELECT n, min(k) AS grp FROM r GROUP BY n),
@@ -89,7 +88,7 @@ m AS (SELECT g.grp, t.storey, CAST(round(((t.x0 - f.x0) * f.ux + (t.y0 - f.y0) *
 SELECT grp AS id, min(storey) AS storey, count(*) AS members, min(least(p, q)) AS from_mm, max(greatest(p, q)) AS to_mm FROM m GROUP BY grp""")
 def merged_walls(spark, d):
     """Connected fragments as one wall along its first."""
-    return R.merged_walls(walls(spark, d), pairs(spark, d))
+    return R.merged_walls(*R.whole_shapes(walls(spark, d), *LIMITS))
 
 
 @query(f"""WITH RECURSIVE {WALL_SQL}, n AS (SELECT storey, id * 2 AS n, x0 AS x, y0 AS y FROM w UNION ALL SELECT storey, id * 2 + 1, x1, y1 FROM w), e AS (SELECT a.n AS a, b.n AS b FROM n a JOIN n b ON a.storey = b.storey AND a.n <> b.n AND sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 0.05e0),

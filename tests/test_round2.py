@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from helpers import duck_rows, spark_rows
 
-from pointloom.operators import cluster
+from pointloom.operators import cluster, graph, relations
 from pointloom.plans.catalog import ORACLES, QUERIES
 
 
@@ -63,3 +63,29 @@ def test_dbscan_keeps_no_pairs(spark, monkeypatch):
         df = spark.createDataFrame([(k, *p) for k, p in points.items()], "rid long, x double, y double")
         assert sorted(map(tuple, cluster.dbscan(df, radius, least).select("rid", "cluster", "core").collect())) == brute_dbscan(points, radius, least)
     assert max(written) <= 20 * len(points)
+
+
+CROWD = "SELECT (120 * i + k)::BIGINT AS c_custkey, (k % 2)::INTEGER AS c_nationkey FROM range(6) a(i), range(80) b(k)"
+
+
+@pytest.mark.parametrize("name", ["wall_pairs", "merged_walls", "wall_corners", "snapped_topology"])
+def test_walls_of_one_place(name, same):
+    same(name, customer=CROWD)
+
+
+def test_walls_of_one_place_meet_once(spark, monkeypatch, tmp_path):
+    written, keep = [], relations.kept
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    duckdb.connect().execute(f"COPY ({CROWD}) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    monkeypatch.setattr(relations, "kept", counted)
+    monkeypatch.setattr(graph, "kept", counted)
+    QUERIES["merged_walls"](spark, str(tmp_path)).collect()
+    assert written and max(written) <= 240
+    del written[:]
+    QUERIES["snapped_topology"](spark, str(tmp_path)).collect()
+    assert written and max(written) <= 600
