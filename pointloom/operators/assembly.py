@@ -12,7 +12,7 @@ from pointloom.operators import recognise
 from pointloom.operators.cloud import num
 from pointloom.operators.elements import accepted
 from pointloom.operators.grid import small
-from pointloom.operators.relations import corner_members
+from pointloom.operators.relations import corner_places
 from pointloom.sources.tables import kept
 
 c = F.col
@@ -114,21 +114,24 @@ def reconstructed(cloud: DataFrame, by: str, bottom: float, top: float, height:
 
 
 def junctions(walls: DataFrame, reach: float, cell: float = 1.0) -> DataFrame:
-    """Ends that lie within ``reach`` of the inside of another wall of their storey: (node, x, y), at the foot on the nearest one.
+    """Places (storey, x, y) of ends within ``reach`` of the inside of another wall of their storey: its ``host`` and foot (fx, fy) on the nearest one.
 
-    Ties go to the smaller id. A wall spreads over the cells of its bounding box, an end lies in one.
+    Ties go to the smaller id. Ends of one place and walls of one place meet once, as a place and the wall of the smallest id. A wall spreads over
+    the cells of its bounding box, an end lies in one; a wall's own ends are never inside it.
     """
     at = lambda v: F.floor(v / num(cell)).cast("long")
     span = lambda a, b: F.explode(F.sequence(at(F.least(a, b) - num(reach)), at(F.greatest(a, b) + num(reach))))
-    body = walls.select("storey", c("id").alias("host"), *[c(n).alias(f"h_{n}") for n in ("x0", "y0", "x1", "y1")])
+    names = ("x0", "y0", "x1", "y1")
+    body = walls.groupBy("storey", *names).agg(F.min("id").alias("host")).select("storey", "host", *[c(n).alias(f"h_{n}") for n in names])
     body = body.withColumn("cx", span(c("h_x0"), c("h_x1"))).withColumn("cy", span(c("h_y0"), c("h_y1")))
-    j = ends_of(walls).withColumn("cx", at(c("x"))).withColumn("cy", at(c("y"))).join(body, ["storey", "cx", "cy"]).where("host <> wall")
-    h = [c(f"h_{n}") for n in ("x0", "y0", "x1", "y1")]
+    j = ends_of(walls).select("storey", "x", "y").distinct().withColumn("cx", at(c("x"))).withColumn("cy", at(c("y"))).join(body.hint("merge"), ["storey", "cx", "cy"])
+    h = [c(f"h_{n}") for n in names]
+    j = j.where(~(((c("x") == h[0]) & (c("y") == h[1])) | ((c("x") == h[2]) & (c("y") == h[3]))))
     ux, uy = X.unit(*h)
     along, off = (c("x") - h[0]) * ux + (c("y") - h[1]) * uy, (c("y") - h[1]) * ux - (c("x") - h[0]) * uy
     near = j.withColumn("along", along).withColumn("off", F.abs(off)).where((c("off") <= num(reach)) & (c("along") > num(reach)) & (c("along") < X.length(*h) - num(reach)))
     foot = F.struct(F.round(c("off") * num(1e6)).cast("long").alias("d"), "host", (h[0] + c("along") * ux).alias("x"), (h[1] + c("along") * uy).alias("y"))
-    return near.groupBy("node").agg(F.min(foot).alias("f")).select("node", "f.host", "f.x", "f.y")
+    return near.groupBy("storey", "x", "y").agg(F.min(foot).alias("f")).select("storey", "x", "y", "f.host", c("f.x").alias("fx"), c("f.y").alias("fy"))
 
 
 def ends_of(walls: DataFrame) -> DataFrame:
@@ -143,11 +146,12 @@ def snapped_topology(walls: DataFrame, reach: float, least: float) -> DataFrame:
     All moves come from one snapshot of the walls. A wall that would get shorter than ``least`` keeps its own ends (``restored``); a
     corner takes precedence over a junction. Coordinates are in millimetres, so equal corners are equal numbers.
     """
-    own = corner_members(ends_of(walls).select("storey", "wall", "end", "x", "y"), reach)
-    corner = own.groupBy("corner").agg(*[F.round(F.sum(mm(c(v))) / F.count(F.lit(1))).cast("long").alias(f"c{v}") for v in "xy"])
-    corner = own.join(corner, "corner").select("node", "cx", "cy")
-    foot = junctions(walls, reach).select("node", mm(c("x")).alias("tx"), mm(c("y")).alias("ty"))
-    j = ends_of(walls).join(corner, "node", "left").join(foot, "node", "left")
+    at, all_ends = ["storey", "x", "y"], ends_of(walls)
+    own = kept(corner_places(all_ends, reach))
+    corner = own.groupBy("corner").agg(*[F.round(F.sum(mm(c(v)) * c("n")) / F.sum("n")).cast("long").alias(f"c{v}") for v in "xy"])
+    corner = own.join(corner, "corner").select(*at, "cx", "cy")
+    foot = junctions(walls, reach).select(*at, mm(c("fx")).alias("tx"), mm(c("fy")).alias("ty"))
+    j = all_ends.join(corner.hint("merge"), at, "left").join(foot.hint("merge"), at, "left")
     moved = j.select("storey", "wall", "end", mm(c("x")).alias("x"), mm(c("y")).alias("y"), F.coalesce("cx", "tx", mm(c("x"))).alias("nx"), F.coalesce("cy", "ty", mm(c("y"))).alias("ny"), F.when(c("cx").isNotNull(), "corner").when(c("tx").isNotNull(), "junction").otherwise("free").alias("kind"))
     end = lambda v, k: F.max(F.when(c("end") == k, c(v)))
     names = [(f"{v}{k}", end(v, k)) for k in (0, 1) for v in ("x", "y", "nx", "ny", "kind")]
