@@ -36,10 +36,10 @@ def detected_openings(mask: DataFrame, walls: DataFrame, cell: float) -> DataFra
     supported stays, ties go to the lower plane and then to the place.
     """
     last = lambda v: F.floor(c(v) / num(cell) + num(1e-9)).cast("long") - 1
-    planes = mask.select("wall", "plane").distinct().withColumn("grp", c("wall") * 16 + c("plane"))
+    cells = kept(M.words(mask.select((c("wall") * 16 + c("plane")).alias("grp"), "ix", "iy")).repartition("grp"))  # neighbours lie together
+    planes = cells.select("grp").distinct().select("grp", F.shiftright("grp", 4).alias("wall"), c("grp").bitwiseAND(F.lit(15)).alias("plane"))
     frames = planes.join(walls, "wall").select("grp", "wall", "plane", "height", F.lit(0).cast("long").alias("x0"), last("length").alias("x1"), F.lit(0).cast("long").alias("y0"), last("height").alias("y1"))
-    cells = mask.select((c("wall") * 16 + c("plane")).alias("grp"), "ix", "iy").distinct()
-    empty = M.boxes(M.labelled(M.complement(M.dilated(cells), frames), RASTER))
+    empty = M.labelled_runs(kept(M.empty_runs(cells, frames)), RASTER).groupBy("grp", "component").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("start").alias("y0"), F.max("end").alias("y1"))
     f = frames.select("grp", "wall", "plane", "height", c("x1").alias("fx"), c("y1").alias("fy"))
     found = empty.join(f, "grp").where((c("x0") > 0) & (c("x1") < c("fx")) & (c("y1") < c("fy")))
     found = found.select("grp", "wall", "plane", "height", "component", (c("x0") - 1).alias("x0"), (c("x1") + 1).alias("x1"), F.greatest(c("y0") - 1, F.lit(0)).alias("y0"), (c("y1") + 1).alias("y1"))
@@ -49,15 +49,17 @@ def detected_openings(mask: DataFrame, walls: DataFrame, cell: float) -> DataFra
         edge("self", c("x0"), c("x1"), c("y0"), c("y1")), edge("sill", c("x0"), c("x1"), c("y0") - 1, c("y0") - 1), edge("head", c("x0"), c("x1"), c("y1") + 1, c("y1") + 1),
         edge("left", c("x0") - 1, c("x0") - 1, c("y0"), c("y1")), edge("right", c("x1") + 1, c("x1") + 1, c("y0"), c("y1")),
     )
-    named = found.withColumn("s", F.explode(strips)).select("grp", "component", F.struct("component", c("s.part").alias("part")).alias("id"), "s.x0", "s.x1", "s.y0", "s.y1")
-    support = M.strip_support(named, cells).select("id.component", "id.part", "support").groupBy("component").pivot("part", ["self", "sill", "head", "left", "right"]).agg(F.max("support"))
-    j = found.join(support, "component")
+    named = found.select("grp", "component", F.explode(strips).alias("s")).select("grp", "component", "s.*")
+    hits = M.words_set(named, cells, ["component", "part"]).groupBy("component").agg(*[F.sum(F.when(c("part") == p, c("n"))).alias(p) for p in ("self", "sill", "head", "left", "right")])
+    wide, tall = c("x1") - c("x0") + 1, c("y1") - c("y0") + 1
+    share = {"self": wide * tall, "sill": wide, "head": wide, "left": tall, "right": tall}
+    j = found.join(hits, "component", "left").withColumns({p: F.coalesce(p, F.lit(0).cast("long")) / area for p, area in share.items()})
     side = lambda v: (c(v) >= num(0.5)).cast("long")
     size = lambda a, z: (c(z) - c(a) + 1) * num(cell)
     kind = M.opening_kind(size("x0", "x1"), size("y0", "y1"), c("y0") * num(cell), c("height"), num(1) - c("self"), c("sill"), cell)
     judged = j.withColumn("sides", side("head") + side("left") + side("right")).withColumn("vacancy", num(1) - c("self")).withColumn("kind", kind).where(c("kind").isNotNull() & (c("sides") >= 2))
     order = Window.partitionBy("wall").orderBy(F.desc("sides"), F.desc("vacancy"), "plane", "x0", "y0", "component")
-    ranked = judged.withColumn("rank", F.row_number().over(order)).withColumn("opening", c("component"))
+    ranked = kept(judged.withColumn("rank", F.row_number().over(order)).withColumn("opening", c("component")))
     upper = lambda v: (c(v) + 1).alias(v)
     best = accepted(ranked.select(c("wall").alias("host"), "opening", "rank", "x0", upper("x1"), "y0", upper("y1")))
     return ranked.join(best.select(c("host").alias("wall"), "opening"), ["wall", "opening"], "left_semi").select("wall", "kind", "x0", "x1", "y0", "y1", F.round("vacancy", 6).alias("vacancy"), "sides")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.operators import ordered as O
@@ -33,21 +33,26 @@ def closed(mask: DataFrame, reach: int = 1) -> DataFrame:
     return eroded(dilated(mask, reach), reach)
 
 
-def labelled(mask: DataFrame, columns: int = 1 << 20, block: int = 64) -> DataFrame:
-    """Components over eight neighbours: (grp, ix, iy, component), named by the smallest cell key (grp, ix, iy).
+def labelled_runs(runs: DataFrame, columns: int = 1 << 20, block: int = 64) -> DataFrame:
+    """Components over eight neighbours of runs (grp, ix, start, end), named by the smallest cell key (grp, ix, iy).
 
     Cells of one ``ix`` that follow each other are one node, so that the graph has runs instead of cells. Runs of neighbouring ``ix``
     meet by blocks of ``iy``, so a long row of many runs does not meet itself whole.
     """
     key = (F.col("grp") * columns + F.col("ix")) * columns + F.col("start")
-    runs = O.runs(mask.select("grp", "ix", "iy").distinct(), ["grp", "ix"], "iy").select("grp", "ix", "start", "end", key.alias("k"))
+    runs = runs.select("grp", "ix", "start", "end", key.alias("k"))
     spread = lambda lo, hi: F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block)))
     left = runs.select("grp", (F.col("ix") + 1).alias("ix"), (F.col("start") - 1).alias("lo"), (F.col("end") + 1).alias("hi"), F.col("k").alias("a"))
     left = left.withColumn("block", spread(F.col("lo"), F.col("hi")))
     right = runs.select("grp", "ix", "start", "end", F.col("k").alias("b")).withColumn("block", spread(F.col("start"), F.col("end")))
     edges = left.join(right, ["grp", "ix", "block"]).where("start <= hi AND end >= lo").select("a", "b")
     every = edges.unionByName(runs.select(F.col("k").alias("a"), F.col("k").alias("b")))
-    found = runs.join(connected_components(every), F.col("k") == F.col("node"))
+    return runs.join(connected_components(every), F.col("k") == F.col("node")).select("grp", "ix", "start", "end", "component")
+
+
+def labelled(mask: DataFrame, columns: int = 1 << 20, block: int = 64) -> DataFrame:
+    """Components over eight neighbours: (grp, ix, iy, component), named by the smallest cell key (grp, ix, iy)."""
+    found = labelled_runs(O.runs(mask.select("grp", "ix", "iy").distinct(), ["grp", "ix"], "iy"), columns, block)
     return found.select("grp", "ix", F.explode(F.sequence("start", "end")).alias("iy"), "component")
 
 
@@ -56,6 +61,45 @@ def boxes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("grp", "component").agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"), F.count(F.lit(1)).alias("area"))
 
 
+def words(mask: DataFrame) -> DataFrame:
+    """Cells of each column, 32 to a word: (grp, ix, block, bits); bit b of block k is ``iy`` 32 k + b."""
+    return mask.groupBy("grp", "ix", F.shiftright("iy", 5).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(iy & 31 AS INT)))").alias("bits"))
+
+
+def span_bits(lo: Column, hi: Column, block: Column) -> Column:
+    """The bits of a word from ``iy`` lo to hi."""
+    below = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.least(F.lit(32), n - block * 32)).cast("int")) - 1
+    return below(hi + 1).bitwiseAND(F.bitwise_not(below(lo)))
+
+
+def empty_runs(cells: DataFrame, frames: DataFrame) -> DataFrame:
+    """Runs (grp, ix, start, end) of the cells in each frame (grp, x0, x1, y0, y1) that no cell of ``cells`` (words) touches or sets.
+
+    They are the complement of the dilated mask, found on words: three shifts instead of nine copies of each cell.
+    """
+    part = lambda step, bits: F.struct((F.col("block") + step).alias("block"), bits.alias("bits"))
+    bits, low = F.col("bits"), F.lit((1 << 32) - 1)
+    tall = bits.bitwiseOR(F.shiftleft(bits, 1)).bitwiseOR(F.shiftright(bits, 1)).bitwiseAND(low)
+    grown = F.array(part(0, tall), part(1, F.shiftright(bits, 31)), part(-1, F.shiftleft(bits.bitwiseAND(F.lit(1)), 31)))
+    near = cells.join(small(frames.select("grp", "x0", "x1", "y0", "y1")), "grp").select("grp", "x0", "x1", F.explode(F.array(*[F.col("ix") + d for d in (-1, 0, 1)])).alias("ix"), F.filter(grown, lambda w: (w.bits != 0) & w.block.between(F.shiftright("y0", 5), F.shiftright("y1", 5))).alias("w"))
+    near = near.where(F.col("ix").between(F.col("x0"), F.col("x1"))).select("grp", "ix", F.explode("w").alias("w")).select("grp", "ix", "w.block", "w.bits", F.lit(0).cast("long").alias("inside"))
+    whole = frames.select("*", F.explode(F.sequence("x0", "x1")).alias("ix")).select("*", F.explode(F.sequence(F.shiftright("y0", 5), F.shiftright("y1", 5))).alias("block"))
+    every = whole.select("grp", "ix", "block", F.lit(0).cast("long").alias("bits"), span_bits(F.col("y0"), F.col("y1"), F.col("block")).alias("inside")).unionByName(near)
+    left = every.groupBy("grp", "ix", "block").agg(F.bit_or("inside").bitwiseAND(F.bitwise_not(F.bit_or("bits"))).alias("bits")).where("bits <> 0")
+    at = lambda v: F.filter(F.sequence(F.lit(0), F.lit(31)), lambda b: F.call_function("shiftright", v, b).bitwiseAND(F.lit(1)) == 1)
+    first, last = at(bits.bitwiseAND(F.bitwise_not(F.shiftleft(bits, 1)))), at(bits.bitwiseAND(F.bitwise_not(F.shiftright(bits, 1))))
+    runs = left.select("grp", "ix", "block", F.explode(F.arrays_zip(first.alias("first"), last.alias("last"))).alias("r")).select("grp", "ix", (F.col("block") * 32 + F.col("r.first")).alias("lo"), (F.col("block") * 32 + F.col("r.last") + 1).alias("hi"))
+    return O.interval_union(runs, ["grp", "ix"]).select("grp", "ix", F.col("lo").alias("start"), (F.col("hi") - 1).alias("end"))
+
+
+def words_set(strips: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How many cells of the strips (by, grp, x0, x1, y0, y1) are set in ``cells`` (words): (by, n); strips without any are left out."""
+    tall = strips.select("*", F.explode(F.sequence(F.shiftright("y0", 5), F.shiftright("y1", 5))).alias("block"))
+    spread = tall.select(*by, "grp", F.explode(F.sequence("x0", "x1")).alias("ix"), "block", span_bits(F.col("y0"), F.col("y1"), F.col("block")).alias("span"))
+    hit = cells.join(small(spread), ["grp", "ix", "block"])
+    return hit.groupBy(*by).agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("span")))).alias("n")).where("n > 0")
+
+
 def row_runs(mask: DataFrame) -> DataFrame:
     """Disjoint rectangles one row high that make up the mask; their areas add up."""
     return O.runs(mask.distinct(), ["grp", "iy"], "ix").select("grp", "iy", F.col("start").alias("x0"), F.col("end").alias("x1"))

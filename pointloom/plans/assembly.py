@@ -21,6 +21,7 @@ def planted_walls(spark, d):
     window alone. Every 97th cell of it has no return."""
     k = c("s_suppkey")
     wall = read(spark, d, "supplier").select(k.alias("wall"), (3 + k % 5).alias("door"), (20 + k % 7).alias("window"), (7 + k % 4).alias("sill"))
+    wall = wall.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "wall")  # a few rows become many cells
     cells = wall.withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long")))).withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(26).cast("long")))).withColumn("plane", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     door = c("ix").between(c("door"), c("door") + 8) & (c("iy") <= 20) & (c("plane") == 0)
     window = c("ix").between(c("window"), c("window") + 11) & c("iy").between(c("sill"), c("sill") + 9)

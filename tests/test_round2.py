@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from helpers import duck_rows, spark_rows
 
-from pointloom.operators import cluster, evidence, graph, grid, quality, relations
+from pointloom.operators import cluster, evidence, graph, grid, ordered, quality, raster, relations
 from pointloom.plans.catalog import ORACLES, QUERIES
 
 
@@ -164,3 +164,23 @@ def test_boxes_of_one_place_are_matched_one_to_one(spark):
     got = sorted((r.truth_id, r.pred_id, round(r.iou, 3)) for r in quality.matched_boxes(t, p, 4.0, 0.25).collect())
     assert got == [(0, 20, 1.0), (1, 21, 1.0), (2, 22, 1.0), (3, 30, 0.333), (9, 31, 1.0)]
     assert sum(r.iou for r in quality.matched_instances(quality.box_overlaps(t, p, 4.0, 0.25)).collect()) == pytest.approx(4 + 1 / 3)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_openings_on_words_of_cells(spark, seed):
+    rng = random.Random(seed)
+    holes = [(g, rng.randrange(40), rng.randrange(80), rng.randrange(3, 12), rng.randrange(3, 45)) for g in (16, 17, 35) for _ in range(4)]
+    cells = [(g, x, y) for g in (16, 17, 35) for x in range(-1, 45) for y in range(-1, 100) if rng.random() < 0.97 and not any(g == h and a <= x < a + w and b <= y < b + t for h, a, b, w, t in holes)]
+    mask = spark.createDataFrame([*cells, *cells[:50]], "grp long, ix long, iy long")
+    frames = spark.createDataFrame([(g, 0, 43, 0, 98 - g) for g in (16, 17, 35)], "grp long, x0 long, x1 long, y0 long, y1 long")
+    words = raster.words(mask)
+    runs = raster.empty_runs(words, frames).selectExpr("grp", "ix", "explode(sequence(start, end)) AS iy")
+    assert spark_rows(runs) == spark_rows(raster.complement(raster.dilated(mask), frames))
+    assert raster.empty_runs(words, frames).count() == ordered.runs(runs, ["grp", "ix"], "iy").count()
+    strips = spark.createDataFrame([(k, rng.choice((16, 17, 35)), x := rng.randrange(-2, 40), x + rng.randrange(6), y := rng.randrange(-3, 90), y + rng.randrange(70)) for k in range(60)], "id long, grp long, x0 long, x1 long, y0 long, y1 long")
+    assert spark_rows(raster.words_set(strips, words, ["id"])) == spark_rows(raster.strip_support(strips, mask).where("n > 0").select("id", "n"))
+
+
+def test_openings_copy_no_cells(spark, sf, monkeypatch):
+    monkeypatch.setattr(raster, "moved", None)  # nine copies of each cell
+    assert QUERIES["detected_openings"](spark, sf).count() == 2 * spark.read.parquet(f"{sf}/supplier.parquet").count()
