@@ -120,6 +120,17 @@ def test_url_edges(spark):
     assert urls.filtered(pages, entries).count() == 14 and urls.filtered(pages.limit(0), entries).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark, sf):
+    words = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for h, p, v in urls.RULES} == words
+    cases = {"https://b.test.net/de/x": "net/de/", "http://example.net/de/7": "net/de/", "http://a.example.net/de/8": "example.net/de/8", "http://spam-farm.example.net/de/1": "net/de/", "http://net/de/": "net/de/", "http://a.org/es/": "org/es/"}
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filtered(pages, urls.listing(spark, pages=urls.on_named_sites(pages))).collect()}
+    assert got == {i: (rule, words[rule]) for i, rule in enumerate(cases.values())}
+    ruled = [(r.rule, r.verdict) for r in urls.op7_url_filter(spark, sf).where("rule IS NOT NULL").collect()]
+    assert ("net/de/", "allow") in ruled and all(v == words[k] for k, v in ruled)
+
+
 def test_listed_pages_decide_the_verdict(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     free = [r.url for r in urls.op7_url_filter(spark, sf).where("verdict = 'allow' AND rule IS NULL").join(pages, "page_id").orderBy("page_id").collect()]
