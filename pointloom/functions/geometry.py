@@ -345,6 +345,85 @@ def normals(covariances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(flat[:, None], np.nan, n), np.where(flat, np.nan, np.maximum(curvature, 0))
 
 
+def neighbour_covariances(points: np.ndarray, core: np.ndarray, radius: float, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of points within ``radius``, covariance of them) of each ``core`` point; ``points`` hold all that is within reach.
+
+    Points of one cell meet the cells around together: cells wholly within reach of it give their sums at once, those
+    on the border are tested point by point, and sums of those that pass are one product of matrices.
+    """
+    near2, low = radius * radius, points.min(axis=0)
+    span = np.maximum(points.max(axis=0) - low, radius)
+    k = int(np.clip(round((len(points) / np.prod(span) * radius**3 / 24) ** (1 / 3)), 1, 8))
+    h, reach = radius / k, k + 1
+    at = np.floor((points - low) / h).astype(np.int64) + reach
+    nx, ny, nz = at.max(axis=0) + reach + 1
+    flat = (at[:, 2] * ny + at[:, 1]) * nx + at[:, 0]
+    order = np.argsort(flat, kind="stable")
+    p, own, flat = points[order], core[order], flat[order]
+    first = np.zeros(nx * ny * nz + 1, np.int64)
+    np.cumsum(np.bincount(flat, minlength=nx * ny * nz), out=first[1:])
+    # Rows of cells (along x) around a cell: how far they may reach, and how far they are wholly within reach (-1: nowhere).
+    steps = np.arange(-reach, reach + 1)
+    gap, far = (np.maximum(np.abs(steps) - 1, 0) * h) ** 2, ((np.abs(steps) + 1) * h) ** 2
+    oy, oz = (a.ravel() for a in np.meshgrid(steps, steps))
+    half = np.arange(reach + 1)
+    out_to = (gap[oy + reach][:, None] + gap[oz + reach][:, None] + gap[half + reach][None] <= near2 * (1 + 1e-6)).sum(axis=1) - 1
+    in_to = (far[oy + reach][:, None] + far[oz + reach][:, None] + far[half + reach][None] <= near2 * (1 - 1e-6)).sum(axis=1) - 1
+    used = out_to >= 0
+    row, out_to, in_to = (oz * ny + oy)[used] * nx, out_to[used], in_to[used]
+    inner = in_to >= 0
+    irow, ito = row[inner], in_to[inner]
+    lo_off, hi_off = np.concatenate([row - out_to, irow + ito + 1]), np.concatenate([np.where(inner, row - in_to, row + out_to + 1), irow + out_to[inner] + 1])
+
+    def places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = b - a
+        ends = np.cumsum(n)
+        return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+    def sums(d: np.ndarray) -> np.ndarray:
+        x, y, z = d.T
+        return np.stack([np.ones(len(d)), x, y, z, x * x, x * y, x * z, y * y, y * z, z * z], axis=1)
+
+    room = np.empty((2, 64 * block))
+
+    def within(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Which of the points ``d`` (a row for each axis) are within reach of each of ``q``, as 0 and 1."""
+        shape = (len(q), d.shape[1])
+        d2, t = (r[: shape[0] * shape[1]].reshape(shape) for r in room)
+        np.subtract(d[0], q[:, :1], out=d2)
+        np.multiply(d2, d2, out=d2)
+        for axis in (1, 2):
+            np.subtract(d[axis], q[:, axis : axis + 1], out=t)
+            np.multiply(t, t, out=t)
+            np.add(d2, t, out=d2)
+        return np.less_equal(d2, near2, out=t, casting="unsafe")
+
+    mine = np.flatnonzero(own)
+    found, axes, weights = np.zeros((len(p), 10)), np.ascontiguousarray(p.T), sums(p - (low + span / 2))
+    for cell in np.unique(flat[mine]):
+        a, b = first[cell], first[cell + 1]
+        who = a + np.flatnonzero(own[a:b])
+        inside = places(first[cell + irow - ito], first[cell + irow + ito + 1])
+        test = places(first[cell + lo_off], first[cell + hi_off])
+        w, turned, sure = weights[test], axes[:, test], weights[inside].sum(axis=0)
+        for part in np.array_split(who, -(-len(who) // 64)):
+            total = np.repeat(sure[None], len(part), axis=0)
+            for i in range(0, len(test), block):
+                total += within(p[part], turned[:, i : i + block]) @ w[i : i + block]
+            # Where neighbours lie close together, sums about the point itself keep their digits.
+            m = total[:, 1:] / np.maximum(total[:, :1], 1)
+            small = (m[:, 3] + m[:, 6] + m[:, 8] - (m[:, :3] ** 2).sum(axis=1)) < 1e-2 * near2
+            for i in np.flatnonzero(small):
+                total[i] = 0
+                for j in np.split(every := np.concatenate([inside, test]), range(block, len(every), block)):
+                    total[i] += sums(p[j[within(p[part[i]][None], axes[:, j])[0] > 0]] - p[part[i]]).sum(axis=0)
+            found[part] = total
+    n = found[mine, 0]
+    m = found[mine, 1:] / np.maximum(n, 1)[:, None]
+    c = m[:, 3:] - np.stack([m[:, i] * m[:, j] for i, j in ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))], axis=1)
+    return order[mine], n.astype(np.int64), c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+
+
 def regions(points: np.ndarray, normal: np.ndarray, curvature: np.ndarray, radius: float, angle: float, plane: float, least: int) -> np.ndarray:
     """Region of each point (-1: none), numbered in order of growth. Seeds go by rounded curvature, then row; a region takes
     neighbours whose normal and distance agree with its plane, which is fitted again at 12 points and then every 64."""
